@@ -41,3 +41,10 @@ def lower_az(col):
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, bound: int = 500_000) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids. Up to `bound` ids (8 bytes each) are broadcast; more are joined by a shuffle."""
+    ids = stash(ids.select("doc_id").distinct(), "dropped")
+    small = ids.limit(bound + 1).count() <= bound
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, toxicity, url_filter
+from . import exact_dedup, license_scan, minhash_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
 }
 SQL = {
     "op1_url_filter": url_filter.ORACLE,
