@@ -3,15 +3,16 @@
 A document is the sequence of its five-word shingles, each labelled with its occurrence number (a text of fewer words
 is one shingle of them all). For each of 20 orders of the labelled shingles a sketch takes the 5 least, keeps them in
 text order and hashes them: two documents share a sketch with about the fifth power of their similarity, and only if
-the order agrees, so that at 0.8 all 20 differ with a chance of 4 in 10,000. Texts of at most 15 shingles get 8 sketches of 2 more.
+the order agrees, so that at 0.8 all 20 differ with a chance of 4 in 10,000. Texts of at most 7 shingles get 12 sketches of 3 more.
 
 Candidates are verified by banded alignment: similarity is L / (n + m - L) with L the longest common subsequence of the
 two labelled sequences within the band that 0.8 allows; as labelled shingles are unique in a text, that is the longest
 increasing run of matched positions. Classes are the components of links of 0.8 or more.
 
 No group is gathered and no group's pairs are listed: texts of equal words collapse first; then each bucket's members
-are compared with the bucket's hub; only buckets that still hold different components compare members of different
-components.
+are compared with the bucket's hub. Only buckets that still hold different components go on: up to 32 members, those of
+different components pair; beyond, the members outside the bucket's largest component meet all members in blocks of at most about
+128 by 256, whose shared shingles are counted as a matrix product and only whose promising pairs are aligned.
 
 Defined results: class_id is the least doc_id of the class; texts of equal words, so all texts without words, are one
 class; null text counts as empty; rows that share a doc_id are one document and one class; a row without doc_id is
@@ -33,7 +34,9 @@ from .components import components
 from .textnum import K1, K2, Words, blocks, mix, texts
 
 SHINGLE, BANDS, PICK = 5, 20, 5
-SMALL, SMALL_BANDS, SMALL_PICK = 15, 8, 2
+SMALL, SMALL_BANDS, SMALL_PICK = 7, 12, 3
+PAIRED, SIDE = 32, (128, 256)  # buckets up to PAIRED members list their pairs; larger ones are compared in blocks of these sizes
+COLUMNS = 8192
 ORDERS = mix(np.arange(1, 200, dtype=np.uint64) * K2) | np.uint64(1)
 SKETCH = "doc_id long, words binary, n int, bands array<long>"
 
@@ -154,6 +157,68 @@ def alike(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(aligned_batches, "a long, b long")
 
 
+def shared_counts(sides: list[list[np.ndarray]]) -> np.ndarray:
+    """How many labelled shingles each text of the first side shares with each of the second, by blocks of columns."""
+    which = np.concatenate([np.full(len(x), k) for k, x in enumerate(sides[0] + sides[1])]) if sides[0] + sides[1] else np.zeros(0, int)
+    codes = np.concatenate([*sides[0], *sides[1], np.zeros(0, np.uint64)])
+    _, codes, often = np.unique(codes, return_inverse=True, return_counts=True)
+    keep = often[codes] > 1
+    codes, which = codes[keep], which[keep]
+    n_a, n_b = len(sides[0]), len(sides[1])
+    out = np.zeros((n_a, n_b), dtype=np.float32)
+    order = np.argsort(codes, kind="stable")
+    codes, which = codes[order], which[order]
+    fresh = np.concatenate([[0], np.cumsum(codes[1:] != codes[:-1])]) if len(codes) else codes
+    for start in range(0, int(fresh[-1]) + 1 if len(fresh) else 0, COLUMNS):
+        i, j = np.searchsorted(fresh, [start, start + COLUMNS])
+        block = np.zeros((n_a + n_b, COLUMNS), dtype=np.float32)
+        block[which[i:j], fresh[i:j] - start] = 1
+        out += block[:n_a] @ block[n_a:].T
+    return out
+
+
+def compare_blocks(key: tuple, found: pa.Table) -> pa.Table:
+    """Links that join the components of two blocks of one bucket: (side, node, comp, text) to (a, b)."""
+    data, offsets = texts(found.column("text").combine_chunks())
+    side, node, comp = (found.column(c).to_numpy() for c in ("side", "node", "comp"))
+    marks: list[np.ndarray] = []
+    for i, j in blocks(offsets):
+        marks += [labelled(s) for s in shingles(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
+    at = [np.flatnonzero(side == k) for k in (0, 1)]
+    sides = [[marks[k] for k in x] for x in at]
+    counts = shared_counts(sides)
+    sizes = [np.array([len(x) for x in s], dtype=np.int64) for s in sides]
+    might = (9 * counts >= 4 * (sizes[0][:, None] + sizes[1][None, :])) & (comp[at[0]][:, None] != comp[at[1]][None, :])
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    links = []
+    rows, columns = np.nonzero(might)
+    for k in np.argsort(-counts[rows, columns], kind="stable").tolist():
+        a, b = int(at[0][rows[k]]), int(at[1][columns[k]])
+        ra, rb = root(int(comp[a])), root(int(comp[b]))
+        if ra != rb and aligned(marks[a], marks[b]):
+            parent[max(ra, rb)] = min(ra, rb)
+            links.append((int(node[a]), int(node[b])))
+    return pa.table([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+
+
+def alike_in_blocks(buckets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Links between the components of large buckets (key, node, comp, members, top)."""
+    parts = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), n).cast("int")
+    n_a, n_b = parts(F.col("members") - F.col("top.size"), SIDE[0]), parts(F.col("members"), SIDE[1])
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = buckets.filter(F.col("comp") != F.col("top.comp")).select("key", "node", "comp", F.lit(0).alias("side"), dealt(n_a, 1).alias("i"), every(n_b).alias("j"))
+    whole = buckets.select("key", "node", "comp", F.lit(1).alias("side"), every(n_a).alias("i"), dealt(n_b, 2).alias("j"))
+    sent = outside.unionByName(whole).join(candidates, "node")
+    return sent.groupBy("key", "i", "j").applyInArrow(compare_blocks, "a long, b long")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, kept."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -171,11 +236,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = components(links)
 
     named = shared.join(comps, "node", "left").select("key", "node", "n", F.col("hub.node").alias("hub"), F.coalesce("comp", "node").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
-    left = stash(named.join(mixed, "key", "left_semi"), "mixed")
-    x, y = left.alias("x"), left.filter("node <> hub").alias("y")  # pairs with the hub are done
-    across = x.filter("node <> hub").join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
-    more = stash(alike(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), candidates), "links")
+    counted = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+    mixed = counted.groupBy("key").agg(F.sum("size").alias("members"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    left = stash(named.join(mixed.drop("comps"), "key"), "mixed")
+
+    few = left.filter((F.col("members") <= PAIRED) & (F.col("node") != F.col("hub")))  # pairs with the hub are done
+    x, y = few.alias("x"), few.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & fits(F.col("x.n"), F.col("y.n")))
+    more = alike(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), candidates)
+    more = stash(more.union(alike_in_blocks(left.filter(F.col("members") > PAIRED), candidates)), "links")
     if not more.isEmpty():
         comps = components(links.union(more))
 
