@@ -1,4 +1,5 @@
 """All queries of the library by name, with their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
