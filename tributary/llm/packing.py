@@ -16,6 +16,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,11 +52,11 @@ class Bins:
             count = self.has.setdefault(bit, Counter())
             count[r] += by
         if by > 0:
-            self.at.setdefault(r, {}).setdefault(s, []).append(b)
+            insort(self.at.setdefault(r, {}).setdefault(s, []), b)
             self.mask |= 1 << r
         else:
             group = self.at[r]
-            group[s].remove(b)
+            del group[s][bisect_left(group[s], b)]
             if not group[s]:
                 del group[s]
             if not group:
