@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH = 1000
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,3 +49,11 @@ def without_ids(docs: DataFrame, ids: DataFrame, bound: int = 500_000) -> DataFr
     ids = stash(ids.select("doc_id").distinct(), "dropped")
     small = ids.limit(bound + 1).count() <= bound
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f) with batches of at most 1,000 rows, as rows hold whole texts: less memory outside the heap and in the workers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH:
+        df.sparkSession.conf.set(key, str(BATCH))
+    return df.mapInArrow(f, schema)

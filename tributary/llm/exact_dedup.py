@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import stash, table, text_or_empty
 
+SHA = "_sha256_of_normalised_text"
 WHITE = " \t\n\x0b\x0c\r"
 LEAST, MOST = 256, 2048
 CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?<=[a-g][h-n][o-t])|.{{1,{MOST}}}"
@@ -62,12 +63,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that exact_dedup keeps, with all their columns. Rows repeated under one id with equal texts leave one row."""
     kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.lit(True).alias("_in"))
-    keyed = docs.withColumn("_sha256", F.sha2(normalised(text_or_empty(text_col)), 256))
-    out = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_sha256"] == kept["_sha"]), "left_semi")
+    keyed = docs.withColumn(SHA, F.sha2(normalised(text_or_empty(text_col)), 256))
+    out = keyed.join(kept, keyed[id_col].eqNullSafe(kept["_id"]) & (keyed[SHA] == kept["_sha"]), "left_semi")
     repeated = docs.groupBy(id_col).count().filter("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates([id_col, "_sha256"])
-    return out.drop("_sha256")
+        out = out.dropDuplicates([id_col, SHA])
+    return out.drop(SHA)
 
 
 def op2_exact_dedup(spark, sf_dir):

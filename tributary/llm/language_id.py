@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, stash, table
+from .common import lower_az, map_arrow, stash, table, without_ids
 from .textnum import _LOWER, _WORD, blocks, texts
 
 ROWS, BITS, LEAST_ROWS = 6000, 15, 5
@@ -68,10 +68,10 @@ def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: s
     languages = sorted(r["_lang"] for r in found.groupBy("_lang").count().filter(F.col("count") >= LEAST_ROWS).collect())  # rows / 5 at most
     if not languages:
         return ["und"], np.zeros((1, 1 << BITS))
-    joined = docs.join(F.broadcast(found), docs[id_col] == F.col("_id")).select("_lang", text_col)  # at most `rows` rows
-    parts = joined.mapInArrow(lambda b: count_batches(b, languages), "counts binary")
+    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(found), "_id").select("_lang", "_text")  # at most `rows` rows
+    parts = map_arrow(joined, lambda b: count_batches(b, languages), "counts binary")
     # each task's counts are 2**15 numbers a language, so merge them by position before they leave the cluster
-    merged = parts.mapInArrow(lambda b: split_counts(b, len(languages)), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    merged = map_arrow(parts, lambda b: split_counts(b, len(languages)), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), 1 << BITS))
     counts[merged["lang"], merged["gram"]] = merged["n"]
     smooth = counts + 0.5
@@ -114,7 +114,7 @@ def fuse(rows: DataFrame, model: tuple[list[str], np.ndarray], ids: list[str]) -
     tagged = rows.withColumn("tag", lower_az(F.regexp_extract(F.trim("declared"), r"^([A-Za-z]+)", 1)))
     declared = F.when(F.col("declared").isNull() | (F.trim("declared") == ""), None).when(known, F.col("tag")).otherwise("other")
     given = tagged.select(*ids, declared.alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text")
-    seen = stash(given.mapInArrow(lambda b: likelihood_batches(b, table_), schema), "evidence")
+    seen = stash(map_arrow(given, lambda b: likelihood_batches(b, table_), schema), "evidence")
 
     each = range(len(languages))
     hits = [F.sum(F.when(F.col("guess") == k, 1).otherwise(0)).alias(f"h{k}") for k in each]
@@ -155,8 +155,6 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns. A row is judged by its own text; rows without doc_id are kept."""
-    from .common import without_ids
-
     judged = fuse(document_rows(docs), train(docs), ["doc_id", "page_id"])
     return without_ids(docs, judged.filter("NOT accepted AND doc_id IS NOT NULL").select("doc_id"))
 

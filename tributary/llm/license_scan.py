@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import map_arrow, table
 from .textnum import Words, blocks, texts
 
 #: Phrase, label.
@@ -114,7 +114,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], templates=TEMPLATES, base=BA
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
-    return docs.select(id_col, text_col).mapInArrow(lambda batches: scan_batches(batches, templates, base), SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), lambda batches: scan_batches(batches, templates, base), SCHEMA)
 
 
 def op4_license_scan(spark, sf_dir):

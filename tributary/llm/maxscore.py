@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import map_arrow, stash, table
 
 SHARD, BLOCK = 2048, 512
 WIDEST = 131072.0
@@ -92,7 +92,8 @@ def max_score(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "
     packed = lambda x, ids, vs: x.groupBy("dims", "part").agg(F.collect_list("vec_id").alias(ids), F.flatten(F.collect_list("v")).alias(vs))
     shards = packed(dealt(rows, n_shards), "ids", "vectors")
     blocks = packed(dealt(asked, n_blocks), "asked", "queries").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("part"), "asked", "queries")
-    found = shards.join(blocks.hint("shuffle_hash"), ["dims", "part"]).select("ids", "vectors", "asked", "queries", "dims").mapInArrow(lambda b: search_batches(b, k), SCHEMA)
+    pairs = shards.join(blocks.hint("shuffle_hash"), ["dims", "part"]).select("ids", "vectors", "asked", "queries", "dims")
+    found = map_arrow(pairs, lambda b: search_batches(b, k), SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

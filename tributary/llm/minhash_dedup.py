@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, table, without_ids
+from .common import map_arrow, stash, table, without_ids
 from .components import components
 from .textnum import K1, K2, Words, blocks, mix, texts
 
@@ -154,7 +154,7 @@ def aligned_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def alike(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are alike. candidates: node, text."""
     side = lambda x: candidates.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(aligned_batches, "a long, b long")
+    return map_arrow(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b"), aligned_batches, "a long, b long")
 
 
 def shared_counts(sides: list[list[np.ndarray]]) -> np.ndarray:
@@ -222,7 +222,7 @@ def alike_in_blocks(buckets: DataFrame, candidates: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, kept."""
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = stash(plain.mapInArrow(sketch_batches, SKETCH), "sketches")
+    sketches = stash(map_arrow(plain, sketch_batches, SKETCH), "sketches")
     nodes = stash(sketches.filter("doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
     members = nodes.select(F.explode("bands").alias("key"), "node", "n")
     hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")

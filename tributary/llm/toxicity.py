@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_arrow, table
 from .textnum import Words, blocks, mix, sum_by, texts
 
 BITS = 18
@@ -83,8 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "d
     """Weights from at most `rows` of the given labels (doc_id, toxic); hold rows out before."""
     sample = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows)
     sample = F.broadcast(sample)  # at most `rows` rows of two numbers
-    texts_ = docs.join(sample, docs[id_col] == F.col("_id")).select("toxic", text_col)
-    found = texts_.mapInArrow(featurised, "toxic int, at binary").limit(2 * rows).collect()
+    texts_ = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id").select("toxic", "_text")
+    found = map_arrow(texts_, featurised, "toxic int, at binary").limit(2 * rows).collect()
     found.sort(key=lambda r: (r["at"], r["toxic"]))  # whatever order the tasks gave
     if not found:
         out = np.zeros((1 << BITS) + 1)
@@ -111,7 +111,7 @@ def score_batches(batches: Iterator[pa.RecordBatch], at: np.ndarray, weight: np.
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     at = np.flatnonzero(weights[:-1])
     weight, intercept = weights[:-1][at], float(weights[-1])
-    return docs.select(id_col, text_col).mapInArrow(lambda batches: score_batches(batches, at, weight, intercept), SCHEMA)
+    return map_arrow(docs.select(id_col, text_col), lambda batches: score_batches(batches, at, weight, intercept), SCHEMA)
 
 
 def held_out(col):
