@@ -18,7 +18,9 @@ their rows; an empty table gives an empty result; texts of any length are search
 from __future__ import annotations
 
 import heapq
+import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import map_arrow, table
 
 BLANK = "▁"
-N_BEST, PARTS, SHORT = 3, 250_000, 64
+N_BEST, PARTS, SHORT = 3, 450_000, 64
 SCHEMA = "doc_id long, rank int, n_pieces long, score double, ids_crc32 long, round_trip boolean"
 #: A blank run with what follows it up to the next blank or line feed; or a line feed.
 PART = re.compile(r"\n| *[^ \n]+| +")
@@ -59,27 +61,58 @@ class Model:
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
         self.unknown = lib.unk_id()
         self.floor = min((score for _, score in self.pieces.values() if score > -1e8), default=0.0) - 10.0
-        self.longest = max(map(len, self.pieces), default=1)
+        self.trie: dict = {}
+        for piece, (k, score) in self.pieces.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = ((k,), score)
+        self.kind = np.dtype("<u2" if lib.get_piece_size() <= 1 << 16 else "<u4")
+        #: What an id adds to a score; of a character's bytes the leading one bears it.
+        self.score_of = np.zeros(lib.get_piece_size())
+        for k, score in self.pieces.values():
+            self.score_of[k] = score
+        for byte, k in self.of_byte.items():
+            self.score_of[k] = 0.0 if 128 <= byte < 192 else self.floor
+        self.score_of[self.unknown] = self.floor
         self.apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) or ("\n" in p and len(p) > 1) for p in self.pieces)
 
-    def edges(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """Edges into each node: (start, ids, score)."""
-        n, get, longest, out = len(text), self.pieces.get, self.longest, [[]]
-        for end in range(1, n + 1):
-            into = [(start, (found[0],), found[1]) for start in range(end - longest if end > longest else 0, end) if (found := get(text[start:end])) is not None]
-            if not into or into[-1][0] != end - 1:
-                into.append((end - 1, tuple(self.of_byte.get(b, self.unknown) for b in text[end - 1].encode()), self.floor))
-            out.append(into)
-        return out
+    def lattice(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+        """The edges (start, ids, score) into each node, and the nodes' forward Viterbi scores."""
+        n = len(text)
+        into: list[list] = [[] for _ in range(n + 1)]
+        forward = [0.0] + [-math.inf] * n
+        for start in range(n):
+            base, node, single = forward[start], self.trie, False
+            for end in range(start, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                found = node.get("")
+                if found is not None:
+                    single = single or end == start
+                    ids, score = found
+                    into[end + 1].append((start, ids, score))
+                    if base + score > forward[end + 1]:
+                        forward[end + 1] = base + score
+            if not single:
+                into[start + 1].append((start, self.bytes_or_unknown(text[start]), self.floor))
+                forward[start + 1] = max(forward[start + 1], base + self.floor)
+        return into, forward
+
+    def bytes_or_unknown(self, char: str) -> tuple[int, ...]:
+        return tuple(self.of_byte[b] for b in char.encode()) if len(self.of_byte) == 256 else (self.unknown,)
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a part (blanks written as ▁): (score, ids), best first."""
-        into, forward = self.edges(text), [0.0]
-        for edges in into[1:]:
-            forward.append(max([forward[start] + score for start, _, score in edges]))
+        """The n best segmentations of a part (blanks written as ▁): (score, ids), best first.
+
+        As the heuristic is exact, a hypothesis' estimate is the score of its best completion; once n different
+        completions are known to be as good or better, a worse one is not queued.
+        """
+        into, forward = self.lattice(text)
         # (-(backward + forward), order, node, backward, rest): rest links the pieces towards the end
         agenda: list[tuple] = [(-forward[-1], 0, len(text), 0.0, None)]
-        popped = [0] * (len(text) + 1)
+        known = [forward[-1]]  # the n best completions known, as a heap
         out, order, push, pop = [], 0, heapq.heappush, heapq.heappop
         while agenda and len(out) < n:
             _, _, node, backward, rest = pop(agenda)
@@ -90,26 +123,35 @@ class Model:
                     rest = rest[1]
                 out.append((backward, tuple(ids)))
                 continue
-            if popped[node] == n:  # the n best go on from here already
-                continue
-            popped[node] += 1
+            best, same = forward[node], True  # the first edge of the best completion goes on with its parent's place in known
             for start, piece, score in into[node]:
+                through = score + forward[start]
+                if same and through == best:
+                    same = False
+                elif len(known) < n:
+                    push(known, backward + through)
+                elif backward + through < known[0]:
+                    continue
+                else:
+                    heapq.heapreplace(known, backward + through)
                 order += 1
-                to = backward + score
-                push(agenda, (-(to + forward[start]), order, start, to, (piece, rest)))
+                push(agenda, (-(backward + through), order, start, backward + score, (piece, rest)))
         return out
 
 
 class Segmenter:
+    """What is kept of a part is its loss, eight bytes, and its ids behind it."""
+
     def __init__(self, proto: bytes, n: int = N_BEST):
         self.model, self.n = Model(proto), n
-        self.known: dict[str, tuple] = {}
-        self.older: dict[str, tuple] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def part(self, key: str) -> tuple[bytes, float, int, float]:
-        """(ids, score, pieces, loss of the second best) of a part."""
+    def part(self, key: str) -> bytes:
+        """The loss of a part's second best segmentation, and the ids of the best."""
         best = self.model.n_best(key.replace(" ", BLANK), 2 if self.n > 1 else 1)
-        return np.array(best[0][1], "<u4").tobytes(), best[0][0], len(best[0][1]), best[0][0] - best[1][0] if len(best) > 1 else float("inf")
+        loss = best[0][0] - best[1][0] if len(best) > 1 else math.inf
+        return struct.pack("<d", loss) + np.array(best[0][1], self.model.kind).tobytes()
 
     def keys(self, text: str) -> list[str]:
         whole = " " + text
@@ -118,35 +160,43 @@ class Segmenter:
         if "  " in whole or "\0" in whole:
             return PART.findall(whole)
         keys = whole.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return [k for k in keys if k]
-
-    def parts(self, keys: list[str]) -> list[tuple]:
-        known = self.known
-        try:
-            return [known[k] for k in keys]
-        except KeyError:
-            pass
-        if len(known) > PARTS:
-            self.older, self.known = known, {}
-            known = self.known
-        long: dict[str, tuple] = {}
-        for k in keys:
-            if k not in known and k not in long:
-                (known if len(k) <= SHORT else long)[k] = self.older.get(k) or self.part(k)
-        return [known[k] if k in known else long[k] for k in keys]
-
-    def segment(self, text: str) -> list[tuple[float, bytes, int]]:
-        """The N best segmentations: (score, ids as little-endian 32-bit integers, pieces)."""
+        return list(filter(None, keys))
+
+    def parts(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, keys))
+        if None not in found:
+            return found
+        if len(self.known) > PARTS:
+            self.older, self.known = self.known, {}
+        known, older, long = self.known, self.older, {}
+        for i, x in enumerate(found):
+            if x is None:
+                k = keys[i]
+                part = known.get(k) or long.get(k)
+                if part is None:
+                    part = older.get(k) or self.part(k)
+                    (known if len(k) <= SHORT else long)[k] = part
+                found[i] = part
+        return found
+
+    def segment(self, text: str) -> list[tuple[float, np.ndarray]]:
+        """The N best segmentations: (score, ids)."""
+        kind = self.model.kind
         if not text:
-            return [(0.0, b"", 0)]
+            return [(0.0, np.zeros(0, kind))]
         keys = self.keys(text)
-        ids, scores, counts, losses = map(list, zip(*self.parts(keys), strict=True))
-        score, pieces = sum(scores), sum(counts)
-        out = [(score, b"".join(ids), pieces)]
+        parts = self.parts(keys)
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        heads = (np.concatenate([[0], ends[:-1]])[:, None] + np.arange(8)).ravel()
+        loss, rest = raw[heads].view("<f8"), np.ones(len(raw), dtype=bool)
+        rest[heads] = False
+        ids = raw[rest].view(kind)
+        score = float(self.model.score_of[ids].sum())
+        out = [(score, ids)]
         if self.n == 1:
             return out
         # of the parts only the n - 1 whose second best loses least can differ from their best in the n best
-        loss = np.array(losses)
         most = np.partition(loss, self.n - 2)[self.n - 2] if len(loss) >= self.n else np.inf
         least = np.concatenate([np.flatnonzero(loss < most), np.flatnonzero(loss == most)])[: self.n - 1]
         single = []
@@ -154,23 +204,23 @@ class Segmenter:
             others = self.model.n_best(keys[k].replace(" ", BLANK), self.n)
             single += [(others[0][0] - s, k, r, other) for r, (s, other) in enumerate(others) if r]
         single = sorted(single, key=lambda x: x[:3])[: self.n - 1]
+        cut = np.concatenate([[0], (ends - 8 * np.arange(1, len(parts) + 1)) // kind.itemsize])
         agenda: list[tuple] = [(x[0], (i,)) for i, x in enumerate(single)]
         heapq.heapify(agenda)
         while agenda and len(out) < self.n:
             lost, chosen = heapq.heappop(agenda)
             if len({single[i][1] for i in chosen}) == len(chosen):
-                other, count = ids.copy(), pieces
-                for i in chosen:
-                    _, k, _, found = single[i]
-                    other[k], count = np.array(found, "<u4").tobytes(), count + len(found) - counts[k]
-                out.append((score - lost, b"".join(other), count))
+                pieces, at = [], 0
+                for _, k, _, found in sorted((single[i] for i in chosen), key=lambda x: x[1]):
+                    pieces += [ids[at : cut[k]], np.array(found, kind)]
+                    at = cut[k + 1]
+                out.append((score - lost, np.concatenate([*pieces, ids[at:]])))
             for i in range(chosen[-1] + 1, len(single)):
                 heapq.heappush(agenda, (lost + single[i][0], (*chosen, i)))
         return out
 
-    def decode(self, ids: bytes) -> str:
-        of = self.model.bytes_of
-        return b"".join([of[k] for k in np.frombuffer(ids, "<u4").tolist()]).decode(errors="replace")[1:]
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join(map(self.model.bytes_of.__getitem__, ids.tolist())).decode(errors="replace")[1:]
 
 
 def segmenter_of_worker(proto: bytes, n: int) -> Segmenter:
@@ -195,7 +245,7 @@ def segment_batches(batches: Iterator[pa.RecordBatch], proto: bytes, n: int) ->
             text = text.as_py() or ""
             best = segmenter.segment(text)
             same = segmenter.decode(best[0][1]) == text
-            rows += [(doc_id, k + 1, pieces, score, zlib.crc32(ids), same) for k, (score, ids, pieces) in enumerate(best)]
+            rows += [(doc_id, k + 1, len(ids), score, zlib.crc32(ids.astype("<u4")), same) for k, (score, ids) in enumerate(best)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -204,7 +254,8 @@ def n_best_pieces(docs: DataFrame, model_path: str, n: int = N_BEST, id_col: str
     """One row per document and segmentation. The driver reads the model and sends it with the tasks."""
     with open(model_path, "rb") as f:
         proto = f.read()
-    return docs.selectExpr(f"cast({id_col} as long) AS doc_id", f"cast({text_col} as string) AS text").mapInArrow(lambda b: segment_batches(b, proto, n), SCHEMA)
+    plain = docs.selectExpr(f"cast({id_col} as long) AS doc_id", f"cast({text_col} as string) AS text")
+    return map_arrow(plain, lambda b: segment_batches(b, proto, n), SCHEMA)
 
 
 def op6_sentencepiece_n_best(spark, sf_dir):
