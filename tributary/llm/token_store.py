@@ -25,8 +25,10 @@ empty files and an empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import map_arrow, shared_dir, table
 from .textnum import mix
 
 END = 2
 BLOCK = 1 << 20
-PIECES = 400_000  # distinct pieces that a worker keeps
+PIECES = 900_000  # distinct pieces in each of two generations that a worker keeps
 FILE = "kind string, shard int, block int, first long, n_docs long, n_ids long, width int, ids binary, lengths binary, data binary, seeds binary, prints binary, offsets binary, firsts binary"
 PAYLOAD = ["shard", "block", "first", "n_docs", "n_ids", "width", "ids", "lengths", "data"]
 INDEX = ["shard", "n_docs", "n_ids", "width", "seeds", "prints", "offsets", "lengths", "firsts"]
@@ -54,40 +56,57 @@ class Encoder:
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.kind = np.dtype(f"<u{width}")
+        self.code = next(c for c in "HIL" if array(c).itemsize == width)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         said = json.loads(tokenizer_json)
         pre = said.get("pre_tokenizer") or {}
         self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not any(" " in x for x in self.special)
-        self.known: dict[str, bytes | None] = {}
+        if self.by_piece and hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # it would only see what this class's own store lacks
+        self.known: dict[str, bytes | bool] = {}
+        self.older: dict[str, bytes | bool] = {}
 
     def packed(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece:
             return self.packed([text])[0]
-        known = self.known
-        pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            pass
-        except TypeError:  # a piece that can't stand alone
+        first, *pieces = text.split(" ")  # but for the first, each stands for itself with a blank before it
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self.learn(pieces, found)
+        if False in found or (pieces and not self.alone(first)):
             return self.packed([text])[0]
-        if len(known) > PIECES:
-            known.clear()
-        fresh = [p for p in dict.fromkeys(pieces) if p not in known]
-        good = [p for p in fresh if self.alone(p)]
-        known.update(zip(good, self.packed(good), strict=True))
-        known.update((p, None) for p in fresh if p not in known)
-        if any(known[p] is None for p in pieces):
-            return self.packed([text])[0]
-        return b"".join([known[p] for p in pieces])
+        return b"".join([self.packed([first])[0], *found])
+
+    def learn(self, pieces: list[str], found: list) -> None:
+        """Fill in what is None; False marks a piece that can't stand alone. Two generations: what was asked for lately stays."""
+        if len(self.known) > PIECES:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        gaps = [k for k, x in enumerate(found) if x is None]
+        fresh = []
+        for p in {pieces[k] for k in gaps}:
+            if (x := older.get(p)) is not None:
+                known[p] = x
+            elif self.alone(p):
+                fresh.append(p)
+            else:
+                known[p] = False
+        known.update(zip(fresh, self.packed([" " + p for p in fresh]), strict=True))
+        for k in gaps:
+            found[k] = known[pieces[k]]
 
     def alone(self, piece: str) -> bool:
-        """One leading space at most, then text that neither begins nor ends with white space and holds no special token."""
-        body = piece[1:] if piece[:1] == " " else piece
-        return bool(body) and not body[0].isspace() and not body[-1].isspace() and not any(x in body for x in self.special)
+        """Text that neither begins nor ends with white space and holds no special token."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return False
+        for x in self.special:
+            if x in piece:
+                return False
+        return True
 
 
 def perfect_hash(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,11 +172,24 @@ class Shard:
         return block, int(self.offsets[slot] - self.firsts[block]), int(self.lengths[slot])
 
 
+def encoder_of_worker(tokenizer_json: str, width: int) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+    import tokenizers
+
+    name = (zlib.crc32(tokenizer_json.encode()), len(tokenizer_json), width)
+    kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
+    if name not in kept:
+        kept.clear()
+        kept[name] = Encoder(tokenizer_json, width)
+    return kept[name]
+
+
 def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, width: int, end: int) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text) of one shard to its payload rows and its index row."""
     from pyspark import TaskContext
 
-    shard, encoder = TaskContext.get().partitionId(), Encoder(tokenizer_json, width)
+    shard, encoder = TaskContext.get().partitionId(), encoder_of_worker(tokenizer_json, width)
     closing = np.array([end], dtype=encoder.kind).tobytes()
     fields = [x.split() for x in FILE.split(", ")]
     kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
@@ -172,8 +204,8 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, width:
         return row(kind="payload", shard=shard, block=len(firsts) - 1, first=firsts[-1], n_docs=len(held), n_ids=size // width, width=width, ids=longs(ids[done:]), lengths=longs(lengths[done:]), data=b"".join(held))
 
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            packed = encoder.encode(text.as_py() or "") + closing
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            packed = encoder.encode(text or "") + closing
             ids.append(NO_ID if key is None else key)
             lengths.append(len(packed) // width)
             held.append(packed)
@@ -207,7 +239,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = END
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     by = F.asc_nulls_first("doc_id")
     dealt = plain.repartitionByRange(shards, by) if shards else plain.repartitionByRange(by)
-    rows = dealt.sortWithinPartitions(by, "text").mapInArrow(lambda b: shard_batches(b, tokenizer_json, width, end), FILE)
+    rows = map_arrow(dealt.sortWithinPartitions(by, "text"), lambda b: shard_batches(b, tokenizer_json, width, end), FILE)
     rows.write.option("compression", "none").partitionBy("kind").parquet(path)
 
 
@@ -235,7 +267,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     totals = sorted((r["shard"], r["n_ids"]) for r in index.select("shard", "n_ids").collect())  # two numbers for each task that wrote
     sums = np.cumsum([0, *(n for _, n in totals)]).tolist()
     before = {shard: start for (shard, _), start in zip(totals, sums[:-1], strict=True)}
-    return payload.mapInArrow(lambda b: digest_batches(b, before), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(payload, lambda b: digest_batches(b, before), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
