@@ -110,12 +110,13 @@ class Model:
         completions are known to be as good or better, a worse one is not queued.
         """
         into, forward = self.lattice(text)
-        # (-(backward + forward), order, node, backward, rest): rest links the pieces towards the end
-        agenda: list[tuple] = [(-forward[-1], 0, len(text), 0.0, None)]
+        # (-(backward + forward), node, order, backward, rest): rest links the pieces towards the end; ties go depth first
+        agenda: list[tuple] = [(-forward[-1], len(text), 0, 0.0, None)]
+        popped = [0] * (len(text) + 1)
         known = [forward[-1]]  # the n best completions known, as a heap
         out, order, push, pop = [], 0, heapq.heappush, heapq.heappop
         while agenda and len(out) < n:
-            _, _, node, backward, rest = pop(agenda)
+            _, node, _, backward, rest = pop(agenda)
             if node == 0:
                 ids: list[int] = []
                 while rest is not None:
@@ -123,6 +124,9 @@ class Model:
                     rest = rest[1]
                 out.append((backward, tuple(ids)))
                 continue
+            if popped[node] == n:  # the n best go on from here already
+                continue
+            popped[node] += 1
             best, same = forward[node], True  # the first edge of the best completion goes on with its parent's place in known
             for start, piece, score in into[node]:
                 through = score + forward[start]
@@ -135,7 +139,7 @@ class Model:
                 else:
                     heapq.heapreplace(known, backward + through)
                 order += 1
-                push(agenda, (-(backward + through), order, start, backward + score, (piece, rest)))
+                push(agenda, (-(backward + through), start, order, backward + score, (piece, rest)))
         return out
 
 
