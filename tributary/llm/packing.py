@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
