@@ -335,6 +335,21 @@ def test_near_chain_in_large_buckets(spark, monkeypatch):
     assert got == brute_classes(rows)
 
 
+@pytest.mark.parametrize("n, shared, m", [(4, 4, 5), (9, 8, 9), (8, 8, 10), (12, 12, 15), (16, 16, 20), (29, 28, 34)])
+def test_near_sketches_meet_at_every_length(n, shared, m):
+    # pairs of similarity 0.8 or little more, equal at one end: a chance of at most 4 in 10,000 that no sketch is shared
+    r, pairs = random.Random(n * 100 + m), 4000
+    rows = []
+    for _ in range(pairs):
+        words = [f"w{r.randrange(10**9)}" for _ in range(shared + 4)]
+        rows += [" ".join(words + [f"x{r.randrange(10**9)}" for _ in range(x - shared)]) for x in (n, m)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["doc_id", "text"])
+    found = next(minhash_dedup.sketch_batches(iter([batch])))
+    assert found.column("n").to_pylist() == [n, m] * pairs
+    bands = [set(x) for x in found.column("bands").to_pylist()]
+    assert sum(a.isdisjoint(b) for a, b in zip(bands[::2], bands[1::2], strict=True)) <= 5  # 1.6 expected at most
+
+
 def test_near_odd(spark, odd):
     got = [(r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_classes(odd).collect()]
     assert len(got) == len(ODD)

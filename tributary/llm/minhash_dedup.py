@@ -1,9 +1,11 @@
 """Near-duplicate documents by order MinHash.
 
 A document is the sequence of its five-word shingles, each labelled with its occurrence number (a text of fewer words
-is one shingle of them all). For each of 20 orders of the labelled shingles a sketch takes the 5 least, keeps them in
-text order and hashes them: two documents share a sketch with about the fifth power of their similarity, and only if
-the order agrees, so that at 0.8 all 20 differ with a chance of 4 in 10,000. Texts of at most 7 shingles get 12 sketches of 3 more.
+is one shingle of them all). For each of 22 orders of the labelled shingles a sketch takes the 5 least, keeps them in
+text order and hashes them: two documents share a sketch if the least of both together are aligned ones, C(L, 5) / C(U, 5)
+with L aligned of U = n + m - L. That is the fifth power of their similarity for long texts and less for short ones, so texts of at
+most 32 shingles get 4 sketches more, and those of at most 15 another 16 sketches of 3. At a similarity of 0.8 or more all
+sketches differ with a chance of at most 4 in 10,000, whatever the lengths (worst: 29 and 34 shingles, 3.6 in 10,000).
 
 Candidates are verified by banded alignment: similarity is L / (n + m - L) with L the longest common subsequence of the
 two labelled sequences within the band that 0.8 allows; as labelled shingles are unique in a text, that is the longest
@@ -33,8 +35,9 @@ from .common import map_arrow, stash, table, without_ids
 from .components import components
 from .textnum import K1, K2, Words, blocks, mix, texts
 
-SHINGLE, BANDS, PICK = 5, 20, 5
-SMALL, SMALL_BANDS, SMALL_PICK = 7, 12, 3
+SHINGLE, BANDS, PICK = 5, 22, 5
+MIDDLE, MIDDLE_BANDS = 32, 26
+SMALL, SMALL_BANDS, SMALL_PICK = 15, 16, 3
 PAIRED, SIDE = 32, (128, 256)  # buckets up to PAIRED members list their pairs; larger ones are compared in blocks of these sizes
 COLUMNS = 8192
 ORDERS = mix(np.arange(1, 200, dtype=np.uint64) * K2) | np.uint64(1)
@@ -106,9 +109,9 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     bands.append([])
                     continue
                 marks = labelled(s)
-                keys = sketch(s, marks, BANDS, PICK, 0)
+                keys = sketch(s, marks, BANDS if len(s) > MIDDLE else MIDDLE_BANDS, PICK, 0)
                 if len(s) <= SMALL:
-                    keys = np.concatenate([keys, sketch(s, marks, SMALL_BANDS, SMALL_PICK, BANDS)])
+                    keys = np.concatenate([keys, sketch(s, marks, SMALL_BANDS, SMALL_PICK, MIDDLE_BANDS)])
                 bands.append(keys.view(np.int64))
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "words", "n", "bands"])
 
