@@ -473,3 +473,27 @@ def test_language_odd(spark, odd):
     pages = spark.createDataFrame([(1, "https://u@A.de:80/x", '<HTML class=a lang="DE-at"><script>var x="<p>"</script><p>und</p>'), (2, None, None)], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in language_id.page_rows(pages).collect()}
     assert (rows[1]["declared"], rows[1]["host"], rows[1]["suffix"], rows[1]["text"].split()) == ("DE-at", "a.de", "de", ["und"])
+
+
+def test_language_rare_and_small(spark):
+    rng = random.Random(7)
+    word = {"en": ["the", "and", "with"], "de": ["und", "der", "nicht"], "fi": ["joka", "mutta", "kanssa"]}
+    row = lambda k, x: (k, " ".join(rng.choices(word[x], k=30)), x, "h", 1)
+    # a language with a share of 0.2 % in a table far larger than the sample
+    rows = [row(k, "fi" if k % 500 == 0 else "de" if k % 3 == 0 else "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = language_id.train(docs, rows=60)
+    assert model[0] == ["de", "en", "fi"]
+    got = {r["doc_id"]: (r["lang"], r["declared"]) for r in language_id.fuse(language_id.document_rows(docs), model, ["doc_id"]).collect()}
+    assert all(got[r[0]] == (r[2], r[2]) for r in rows)
+    # fewer than 5 rows a language, one of them without doc_id; no labels at all
+    few = spark.createDataFrame([row(1, "en"), row(2, "de"), row(3, "en"), row(None, "fi"), (4, "--", "en", "h", 1), (5, None, "xx", "h", 1)], DOCS)
+    assert language_id.train(few)[0] == ["de", "en", "fi"]
+    assert {r["doc_id"] for r in language_id.keep_identified(few).collect()} == {None, 1, 2, 3}
+    bare = few.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_identified(bare).collect()} == {None, 1, 2, 3}
+
+
+def test_language_shares():
+    assert language_id.share([10, 10**6, 10**6], 6000) == 2995 and language_id.share([3, 4], 6000) == 4
+    assert language_id.share([10**6] * 5000, 6000) == language_id.LEAST_ROWS

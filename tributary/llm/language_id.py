@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
-Text: a naive Bayes likelihood over hashed byte trigrams, fitted on at most `rows` documents of known language; a text counts as
-at most 100 trigrams, as neighbours depend on each other. Declared language: how often each is declared, given the
+Text: a naive Bayes likelihood over hashed byte trigrams. The languages are all that any row with letters or digits is labelled
+with, counted over all rows; each is fitted on an equal share of `rows` documents, or on all it has if these are fewer, and
+on 5 at least, so that rare ones are fitted at every size. A text counts as at most 100 trigrams, as neighbours depend on each other. Declared language: how often each is declared, given the
 language that the text speaks for, counted over all rows. Address suffix and host: how often each language is found
 there, counted over all rows without the row itself by grouped aggregation, and smoothed: a host towards its suffix, a suffix
 towards all rows, by the weight of 8 rows. The posterior is the normalised product.
@@ -10,7 +11,8 @@ A row is rejected if its text has no letters or digits or its best posterior is
 
 Defined results: null and empty texts have no text evidence, are rejected and get their best guess from the rest; null
 declarations are no evidence; unknown declarations count as one value, `other`; null hosts and suffixes count as one
-each; without any training row there is one language, `und`, and all is rejected; repeated rows each get their row;
+each; blank labels are none; without any labelled row there is one language, `und`, and all is rejected, but keep_identified
+then drops only texts without letters or digits; repeated rows each get their row;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -21,15 +23,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lower_az, map_arrow, stash, table, without_ids
 from .textnum import _LOWER, _WORD, blocks, texts
 
 ROWS, BITS, LEAST_ROWS = 6000, 15, 5
+PLACES = 1 << 40
 SPAN, WEIGHT, ACCEPT = 100.0, 8.0, 0.5
 TAGS = r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>"
+WORDED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"  # a letter or digit
 URL = r"(?s)^.*?://([^/?#]*)"
 
 
@@ -61,14 +65,30 @@ def count_batches(batches: Iterator[pa.RecordBatch], languages: list[str]) -> It
         yield pa.RecordBatch.from_arrays([pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["counts"])
 
 
+def share(counts: list[int], rows: int) -> int:
+    """How many rows each language may give, so that `rows` are taken in all: small languages give all theirs, the others as many each."""
+    left = rows
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return max(left // (len(counts) - k), LEAST_ROWS)
+        left -= n
+    return max(counts)
+
+
 def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log-likelihoods of each trigram) from at most `rows` rows; a language needs 5 of them."""
-    sample = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("_lang")).orderBy(F.xxhash64("_id"), "_id", "_lang").limit(rows)
-    found = stash(sample, "sample")
-    languages = sorted(r["_lang"] for r in found.groupBy("_lang").count().filter(F.col("count") >= LEAST_ROWS).collect())  # rows / 5 at most
+    """(languages, log-likelihoods of each trigram): all languages that are given to a text, from at most `rows` rows or 5 a language."""
+    given = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).alias("_id"))
+    given = given.filter((F.trim("_lang") != "") & F.col("_text").rlike(WORDED)).withColumn("_at", F.pmod(F.xxhash64("_id", "_text"), F.lit(PLACES)))
+    counted = given.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("least")).collect()  # one row a language
+    languages = sorted(r["_lang"] for r in counted)
     if not languages:
         return ["und"], np.zeros((1, 1 << BITS))
-    joined = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(found), "_id").select("_lang", "_text")  # at most `rows` rows
+    most = share([r["n"] for r in counted], rows)
+    enough = most + 6 * most**0.5 + 20  # more than `most` rows of a language lie below this part of the places
+    bounds = docs.sparkSession.createDataFrame([(r["_lang"], max(r["least"], int(PLACES * min(1.0, enough / r["n"])))) for r in counted], "_lang string, bound long")
+    near = given.join(F.broadcast(bounds), "_lang").filter(F.col("_at") <= F.col("bound"))  # one row a language is broadcast
+    first = Window.partitionBy("_lang").orderBy("_at", "_id", "_text")
+    joined = near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most).select("_lang", "_text")
     parts = map_arrow(joined, lambda b: count_batches(b, languages), "counts binary")
     # each task's counts are 2**15 numbers a language, so merge them by position before they leave the cluster
     merged = map_arrow(parts, lambda b: split_counts(b, len(languages)), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
@@ -155,8 +175,10 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents that are not rejected, with all their columns. A row is judged by its own text; rows without doc_id are kept."""
-    judged = fuse(document_rows(docs), train(docs), ["doc_id", "page_id"])
-    return without_ids(docs, judged.filter("NOT accepted AND doc_id IS NOT NULL").select("doc_id"))
+    model = train(docs)
+    judged = fuse(document_rows(docs), model, ["doc_id", "page_id"])
+    rejected = "text_lang IS NULL" if model[0] == ["und"] else "NOT accepted"  # nothing to learn a language from is no reason to reject
+    return without_ids(docs, judged.filter(f"{rejected} AND doc_id IS NOT NULL").select("doc_id"))
 
 
 def op10_language_id(spark, sf_dir):
