@@ -193,6 +193,16 @@ def test_license_brute(spark, odd, documents):
     assert labels[102] == ("apache,cc-by-nc", 1.0) and labels[103] == ("", 0.0) and labels[100][0] == "mit"
 
 
+def test_license_at_the_border_of_texts():
+    # a text's last letters and the next one's first make no anchor of their own
+    texts = ["words", "Apache License 2.0", "the last of it has no n", "c MIT License", "licensed under cc by s", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    whole = next(license_scan.scan_batches(iter([batch]))).to_pylist()
+    alone = [next(license_scan.scan_batches(iter([batch.slice(k, 1)]))).to_pylist()[0] for k in range(len(texts))]
+    assert whole == alone
+    assert [(x["n_base"], x["base_labels"], x["score"]) for x in whole] == [(0, "", 0.0), (1, "apache", 1.0), (0, "", 0.0), (1, "mit", 1.0), (0, "", 0.0), (0, "", 0.0)]
+
+
 def test_license_templates():
     index = license_scan.Index()
     for label, phrase, _ in license_scan.TEMPLATES:

@@ -97,12 +97,10 @@ def scan_batches(batches: Iterator[pa.RecordBatch], templates=TEMPLATES, base=BA
             found = Words(part, inner, hashed=False)
             low = found.low.tobytes()
             n_words = np.diff(found.first)
-            hit = set()
-            for m in index.anchored.finditer(low):
-                hit.add(int(np.searchsorted(inner, m.start(), side="right")) - 1)
+            ends = inner.tolist()
             for k in range(j - i):
                 places, labels = [], {}
-                if k in hit:
+                if index.anchored.search(low, ends[k], ends[k + 1]):  # in the text's own bytes: no match crosses into the next
                     a, b = found.first[k], found.first[k + 1]
                     words = [low[s : s + n].decode() for s, n in zip(found.starts[a:b].tolist(), found.lengths[a:b].tolist(), strict=True)]
                     places, labels = index.scan(words)
