@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -407,6 +408,23 @@ def test_max_score_brute(spark, monkeypatch):
     assert maxscore.max_score(df.filter("vec_id IN (0, 1)"), every=10).count() == 1
 
 
+def test_max_score_wide(spark, monkeypatch):
+    # components of any finite size, as candidates and as queries, with exact sums
+    monkeypatch.setattr(maxscore, "SHARD", 40)
+    r = random.Random(12)
+    rows = [(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(100)]
+    for k, size in enumerate((131072.0, -200000.5, 5e5, 1e7, -1e9, 2.0**43 + 1, 1e15 + 1, -1e15, 2.0**53 + 2, 3e38, -3e38, 1.7e308, -1.7e308, 1.6e308)):
+        rows += [(200 + 10 * k, [size, 1.0, 0.5, -2.0]), (201 + 10 * k, [size, 1.0 + k, 0.25, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in maxscore.max_score(df, every=10, k=7).collect())
+    good = {i: [int(Fraction(x) * 1024 // 1) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in good if i % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(good[q], v, strict=True)), i) for i, v in good.items() if i != q)[:7]
+        want += [(q, k + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # --- 9 token store ----------------------------------------------------------------------------------------------------
 
 

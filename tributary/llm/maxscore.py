@@ -11,8 +11,11 @@ are still competitive. The shards' lists are merged by (score descending, vec_id
 Queries go to every shard in blocks of about 512; each pair of a shard and a block is one row of work. Nothing is
 broadcast or gathered that grows with the input.
 
-Defined results: vectors that are null, or that hold null or non-finite components or components of 131,072 and more,
-take no part, nor do rows without an id and query-candidate pairs of different length; a query has no row of its own id among its results; with fewer than k
+Sums are exact at any size: candidates and queries are taken by width, and a pair of groups is summed in doubles or 64-bit
+integers where these hold all its sums, else in Python's integers. Scores beyond 64 bits are ranked by their exact value.
+
+Defined results: vectors that are null, or that hold null or non-finite components, take no part, nor do rows without an id
+and query-candidate pairs of different length; a score beyond 64 bits is given as the nearest 64-bit number; a query has no row of its own id among its results; with fewer than k
 candidates all are returned; rows repeated under one id are ranked each, and as queries share one list; an empty table gives an empty result.
 """
 
@@ -28,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, stash, table
 
 SHARD, BLOCK = 2048, 512
-WIDEST = 131072.0
-SCHEMA = "query_id long, vec_id long, score long"
+WIDTHS = (22, 28)  # bits of components: vectors up to the first, up to the second, and beyond
+WHOLE = float(1 << 43)  # doubles from here on are whole after multiplication by 1024
+SCHEMA = "query_id long, vec_id long, score long, beyond binary"
 
 
 def top_of_shard(ids: np.ndarray, shard: np.ndarray, query: np.ndarray, own: int, k: int, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +54,7 @@ def top_of_shard(ids: np.ndarray, shard: np.ndarray, query: np.ndarray, own: int
             least = np.partition(partial, len(partial) - k)[len(partial) - k]  # the k-th best, which can only grow
             keep = partial + rest[i] >= least
             live, partial = live[keep], partial[keep]
-    return live, (partial + (query * base).sum()).astype(np.int64)
+    return live, partial + (query * base).sum()
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
@@ -58,29 +62,63 @@ def lists(column: pa.Array) -> list[np.ndarray]:
     return [values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
+def by_width(v: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Rows of v = floor(1024 x) / 1024 by width: (greatest |1024 v|, positions, 1024 v as int64 or, where it may not fit, Python integers)."""
+    widths = np.abs(v).max(axis=1, initial=0.0)
+    cuts = [-1.0, *(float(1 << bits) / 1024 for bits in WIDTHS), np.inf]
+    out = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        at = np.flatnonzero((widths > low) & (widths <= high))
+        if not len(at):
+            continue
+        if np.isfinite(high):
+            whole = (v[at] * 1024.0).astype(np.int64)
+        else:
+            whole = np.array([int(x) * 1024 if abs(x) >= WHOLE else int(x * 1024.0) for x in v[at].ravel().tolist()], dtype=object).reshape(len(at), v.shape[1])
+        out.append((int(abs(whole).max(initial=0)), at, whole))
+    return out
+
+
+def beyond(score: int) -> bytes:
+    """Orders scores beyond 64 bits, among each other and around those that fit, as bytes."""
+    if -(1 << 63) <= score < 1 << 63:
+        return b"\x01"
+    size = (abs(score).bit_length() + 7) // 8
+    key = size.to_bytes(2, "big") + abs(score).to_bytes(size, "big")
+    return b"\x02" + key if score > 0 else b"\x00" + bytes(255 - x for x in key)
+
+
 def search_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(candidate ids, candidate components, query ids, query components, dimensions) to each query's best in the shard."""
     for batch in batches:
         for ids, vectors, asked, queries, d in zip(*(lists(batch.column(i)) for i in range(4)), batch.column(4).to_pylist(), strict=True):
-            widest = max(np.abs(vectors).max(initial=0), np.abs(queries).max(initial=0))
-            exact = np.float64 if int(widest) ** 2 * max(d, 1) < 2**52 else np.int64  # of what the sums hold exactly, the faster
-            shard = np.ascontiguousarray(vectors.reshape(len(ids), d).T).astype(exact)
-            floor, ceiling = shard.min(axis=1, initial=2**40), shard.max(axis=1, initial=-(2**40))
-            out: list[list] = [[], [], []]
-            for own, query in zip(asked.tolist(), queries.reshape(len(asked), d).astype(exact), strict=True):
-                at, scores = top_of_shard(ids, shard, query, own, k, floor, ceiling)
-                best = np.lexsort((ids[at], -scores))[:k]
-                out[0] += [own] * len(best)
-                out[1] += ids[at[best]].tolist()
-                out[2] += scores[best].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+            out: list[list] = [[], [], [], []]
+            wanted = by_width(queries.reshape(len(asked), d))
+            for widest, of, whole in by_width(vectors.reshape(len(ids), d)):
+                names = ids[of]
+                for width, which, rows in wanted:
+                    most = widest * width * max(d, 1)
+                    exact = np.float64 if most < 2**52 else np.int64 if most < 2**61 else object  # of what the sums hold exactly, the fastest
+                    shard = np.ascontiguousarray(whole.T).astype(exact)
+                    floor, ceiling = shard.min(axis=1), shard.max(axis=1)
+                    for own, query in zip(asked[which].tolist(), rows.astype(exact), strict=True):
+                        at, scores = top_of_shard(names, shard, query, own, k, floor, ceiling)
+                        found = sorted(zip((-scores).tolist(), names[at].tolist(), strict=True))[:k] if exact is object else None
+                        if found is None:
+                            best = np.lexsort((names[at], -scores))[:k]
+                            found = list(zip((-scores[best].astype(np.int64)).tolist(), names[at[best]].tolist(), strict=True))
+                        out[0] += [own] * len(found)
+                        out[1] += [x for _, x in found]
+                        out[2] += [min(max(-int(x), -(1 << 63)), (1 << 63) - 1) for x, _ in found]
+                        out[3] += [beyond(-int(x)) for x, _ in found]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["query_id", "vec_id", "score", "beyond"])
 
 
 def integers(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v: floor(1024 x) of each component; vectors that take no part are left out."""
-    bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) >= WIDEST))
-    whole = F.transform(vec_col, lambda x: F.floor(F.lit(1024.0) * x.cast("double")).cast("int"))
-    return vectors.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).filter(~bad).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("v"))
+    """vec_id, v: floor(1024 x) / 1024 of each component, which a double holds exactly; vectors that take no part are left out."""
+    bad = F.exists(vec_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    down = lambda x: F.when(F.abs(x) < WHOLE, F.floor(F.lit(1024.0) * x).cast("double") / 1024.0).otherwise(x)
+    return vectors.filter(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).filter(~bad).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: down(x.cast("double"))).alias("v"))
 
 
 def max_score(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -94,7 +132,7 @@ def max_score(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "
     blocks = packed(dealt(asked, n_blocks), "asked", "queries").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("part"), "asked", "queries")
     pairs = shards.join(blocks.hint("shuffle_hash"), ["dims", "part"]).select("ids", "vectors", "asked", "queries", "dims")
     found = map_arrow(pairs, lambda b: search_batches(b, k), SCHEMA)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
