@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.graph import History, Span, chain_cover, to_dot, within
-from .runs import coalesce_runs, lookup
+from .runs import coalesce_runs, intersect_runs, lookup
 
 PER_TASK = 4096
 
@@ -118,7 +118,7 @@ def simple_runs(runs: DataFrame, versions: DataFrame) -> DataFrame:
 def shadows(runs: DataFrame) -> DataFrame:
     """Runs with their shadow: the least operation from which all up to the run are its ancestors."""
     one = runs.select("doc").distinct()
-    return ask(runs, one, lambda h, q: [(q["doc"], s, e, h.shadow(k)) for k, (s, e) in enumerate(zip(h.starts, h.ends, strict=True))], "doc long, start long, end long, shadow long")
+    return ask(runs, one, lambda h, q: [(q["doc"], s, e, x) for s, e, x in zip(h.starts, h.ends, h.shadows(), strict=True)], "doc long, start long, end long, shadow long")
 
 
 def concurrency(runs: DataFrame, versions: DataFrame) -> DataFrame:
@@ -126,6 +126,15 @@ def concurrency(runs: DataFrame, versions: DataFrame) -> DataFrame:
     return ask(runs, versions, lambda h, q: [(q["doc"], q["q"], *h.concurrency(ints(q["version"])))], "doc long, q long, total long, ops long")
 
 
+def concurrency_of_logs(runs: DataFrame) -> DataFrame:
+    """(doc, total, ops) of each whole log, by one aggregation: an operation is open until its first child, a run's inner ones until the next of the run."""
+    first = runs.select("doc", F.explode("parents").alias("lv"), "start").groupBy("doc", "lv").agg(F.min("start").alias("child"))
+    ends = runs.select("doc", "start", "end", (F.col("end") - 1).alias("lv"))
+    n = runs.groupBy("doc").agg(F.max("end").alias("n"))
+    waits = ends.join(first, ["doc", "lv"], "left").join(n, "doc")
+    return waits.groupBy("doc").agg(F.sum(F.coalesce("child", "n") - F.col("end")).alias("total"), F.sum(F.col("end") - F.col("start")).alias("ops"))
+
+
 def tips(runs: DataFrame) -> DataFrame:
     """(doc, lv): operations that are no one's parent."""
     used = runs.select("doc", F.explode("parents").alias("lv")).distinct()
@@ -167,8 +176,10 @@ def dots(runs: DataFrame) -> DataFrame:
 
 
 def chain_covers(runs: DataFrame, agents: DataFrame) -> DataFrame:
-    """(doc, agent, start, end, slot): each agent's runs dealt into slots that are totally ordered."""
-    spans = agents.groupBy("doc", "agent").agg(F.array_sort(F.collect_list(F.struct(F.col("lv_start").alias("start"), F.col("lv_end").alias("end")))).alias("keep"))
+    """(doc, agent, start, end, slot): each agent's runs, cut where the history's runs begin, dealt into slots that are totally ordered."""
+    mine = agents.select("doc", "agent", F.col("lv_start").alias("start"), F.col("lv_end").alias("end"))
+    cut = intersect_runs(mine, runs.select("doc", "start", "end"), ["doc"])
+    spans = cut.groupBy("doc", "agent").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("keep"))
 
     def answer(h: History, q: dict):
         mine = spans_of(q)

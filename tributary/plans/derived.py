@@ -67,26 +67,45 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Conversations as concurrent edits: two neighbouring turns are typed at once, at the end of what all turns before left.
+    """Conversations as concurrent edits. Two neighbouring turns are typed at once, at the end of what all before left; then, of a
+    pair's n characters, two editors at once delete n // 4 each: `x` forwards from the first on, `y` backwards those from n // 8 on,
+    so that some are deleted twice. The next pair begins from both.
 
     Tables runs, text, agents, and tips (doc, version).
     """
-    rows = conversations(spark, sf_dir).filter("n > 0").withColumn("k", F.row_number().over(Window.partitionBy("doc").orderBy("turn", "role")) - 1).withColumn("pair", F.floor(F.col("k") / 2).cast("long"))
-    rows = rows.withColumn("side", F.concat(F.col("role"), F.lit("-"), (F.col("k") % 2).cast("string")))
-    w = Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("lv", F.sum("n").over(w) - F.col("n"))
-    rows = rows.withColumn("seq", F.sum("n").over(Window.partitionBy("doc", "side").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    pairs = rows.groupBy("doc", "pair").agg(F.min("lv").alias("begin"), F.array_sort(F.collect_list(F.col("lv") + F.col("n") - 1)).alias("ends"))
-    rows = rows.join(pairs.select("doc", "pair", "begin"), ["doc", "pair"]).join(pairs.select("doc", (F.col("pair") + 1).alias("pair"), F.col("ends").alias("parents")), ["doc", "pair"], "left")
-    last = pairs.groupBy("doc").agg(F.max_by("ends", "pair").alias("version"))
+    by_doc = Window.partitionBy("doc").orderBy("turn", "role")
+    rows = conversations(spark, sf_dir).filter("n > 0").withColumn("k", F.row_number().over(by_doc) - 1).withColumn("pair", F.floor(F.col("k") / 2).cast("long"))
+    typed = rows.select("doc", "pair", (F.col("k") % 2).cast("long").alias("step"), F.concat(F.col("role"), F.lit("-"), (F.col("k") % 2).cast("string")).alias("agent"), "n", F.lit("Ins").alias("kind"), "content", F.lit(True).alias("fwd"), F.lit(0).cast("long").alias("into"))
+    sizes = typed.groupBy("doc", "pair").agg(F.sum("n").alias("size"))
+    gone = lambda step, agent, fwd, into: sizes.filter("size >= 4").select("doc", "pair", F.lit(step).cast("long").alias("step"), F.lit(agent).alias("agent"), F.expr("size div 4").alias("n"), F.lit("Del").alias("kind"), F.lit(None).cast("string").alias("content"), F.lit(fwd).alias("fwd"), F.expr(into).cast("long").alias("into"))
+    deleted = gone(2, "x", True, "0").union(gone(3, "y", False, "size div 8"))
+    order = Window.partitionBy("doc").orderBy("pair", "step").rowsBetween(Window.unboundedPreceding, 0)
+    of_agent = Window.partitionBy("doc", "agent").orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
+    ops_ = typed.unionByName(deleted).withColumns({"lv": F.sum("n").over(order) - F.col("n"), "seq": F.sum("n").over(of_agent) - F.col("n")})
+    left = F.expr("size - size div 4 - size div 8")
+    begins = sizes.withColumn("begin", F.sum(left).over(Window.partitionBy("doc").orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)) - left)
+    # phase 2p types pair p, phase 2p + 1 deletes from it; a phase's runs have the ends of the last phase before as parents
+    ops_ = ops_.join(begins, ["doc", "pair"]).withColumn("phase", F.col("pair") * 2 + (F.col("kind") == "Del").cast("long"))
+    ends = ops_.groupBy("doc", "phase").agg(F.array_sort(F.collect_list(F.col("lv") + F.col("n") - 1)).alias("ends"))
+    before = F.lag("ends").over(Window.partitionBy("doc").orderBy("phase"))
+    ops_ = ops_.join(ends.withColumn("parents", F.coalesce(before, F.array().cast("array<bigint>"))), ["doc", "phase"])
+    last = F.col("lv") + F.col("n")
     return {
-        "runs": rows.select("doc", F.col("lv").alias("start"), (F.col("lv") + F.col("n")).alias("end"), F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents")),
-        "text": rows.select("doc", "lv", "n", F.lit("Ins").alias("kind"), F.col("begin").alias("pos"), "content", F.lit(True).alias("fwd")),
-        "agents": rows.select("doc", F.col("lv").alias("lv_start"), (F.col("lv") + F.col("n")).alias("lv_end"), F.col("side").alias("agent"), F.col("seq").alias("seq_start")),
-        "tips": last,
+        "runs": ops_.select("doc", F.col("lv").alias("start"), last.alias("end"), "parents"),
+        "text": ops_.select("doc", "lv", "n", "kind", (F.col("begin") + F.col("into")).alias("pos"), "content", "fwd"),
+        "agents": ops_.select("doc", F.col("lv").alias("lv_start"), last.alias("lv_end"), "agent", F.col("seq").alias("seq_start")),
+        "tips": ends.groupBy("doc").agg(F.max_by("ends", "phase").alias("version")),
     }
 
 
+def shared_names(ops_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log as if two neighbouring users wrote under one name: (doc, lv, agent, seq) and its spans (doc, round, agent, start, end, seq_start)."""
+    named = ops_.withColumn("agent", F.concat(F.lit("w"), F.expr("CAST(CAST(substr(agent, 2) AS BIGINT) div 2 AS STRING)")))
+    named = named.withColumn("seq", (F.row_number().over(Window.partitionBy("doc", "agent").orderBy("lv")) - 1).cast("long"))
+    user = ops_.select("doc", "lv", F.col("agent").alias("user"))
+    return named.select("doc", "lv", "agent", "seq"), spans(named.join(user, ["doc", "lv"]).withColumn("round", F.struct("round", "user"))).withColumn("round", F.col("round.round"))
+
+
 #: The same in SQL; to be followed by more expressions or the query.
 EV = f"""
 WITH RECURSIVE ev0 AS (SELECT user_id // {USERS} AS doc, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS agent, event_id, ts, event_type AS key, value,

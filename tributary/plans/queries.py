@@ -105,9 +105,14 @@ def next_run(spark, sf_dir):
     return runs.next_run(at, log.spans.select("doc", "agent", "start", "end"), ["doc", "agent"]).withColumn("lv", F.col("lv") - 1)
 
 
-@query("run_overlaps", EV + " SELECT doc, s AS start, e AS \"end\" FROM spans WHERE false")
+#: Every fifth run reaches two operations into the next.
+LONGER = ", longer AS (SELECT doc, s, CASE WHEN s % 5 = 0 THEN e + 2 ELSE e END AS e FROM spans)"
+
+
+@query("run_overlaps", EV + LONGER + " SELECT doc, s AS start, e AS \"end\" FROM longer x WHERE EXISTS (SELECT 1 FROM longer y WHERE y.doc = x.doc AND (y.s < x.s OR (y.s = x.s AND y.e < x.e)) AND y.e > x.s)")
 def run_overlaps(spark, sf_dir):
-    return runs.overlaps(Log(spark, sf_dir).spans.select("doc", "start", "end"), ["doc"])
+    longer = Log(spark, sf_dir).spans.select("doc", "start", F.when(F.col("start") % 5 == 0, F.col("end") + 2).otherwise(F.col("end")).alias("end"))
+    return runs.overlaps(longer, ["doc"])
 
 
 # --- ids and summaries ------------------------------------------------------------------------------------------------
@@ -277,11 +282,15 @@ def project_onto_filter(spark, sf_dir):
     return graph.projections(log.runs, asked).select("doc", "q", spelled(F.col("version")).alias("version"))
 
 
-@query("subgraph_parents")
+@query("subgraph_parents", EV + KEPT.replace("SELECT doc, lv FROM ops JOIN", "SELECT ops.* FROM ops JOIN") + """, k AS (SELECT r.* FROM spans r JOIN ids USING (doc, agent) WHERE id % 2 = 0),
+near AS (SELECT k.doc, k.s, max(p.round) AS round FROM k LEFT JOIN k p ON p.doc = k.doc AND p.round < k.round GROUP BY ALL),
+named AS (SELECT n.doc, n.s, coalesce(string_agg(CAST(p.e - 1 AS VARCHAR), ',' ORDER BY p.e), '') AS parents FROM near n LEFT JOIN k p ON p.doc = n.doc AND p.round = n.round GROUP BY ALL)
+SELECT o.doc, o.lv, coalesce(named.parents, CAST(o.lv - 1 AS VARCHAR)) AS parents FROM kept o LEFT JOIN named ON named.doc = o.doc AND named.s = o.lv""")
 def subgraph_parents(spark, sf_dir):
     log = Log(spark, sf_dir)
     asked = graph.tip_versions(log.runs).join(_kept(log), "doc").select("doc", F.lit(0).cast("long").alias("q"), "version", "keep")
-    return graph.subgraphs(log.runs, asked).select("doc", "start", "end", spelled(F.col("parents")).alias("parents"))
+    kept = runs.explode_runs(graph.subgraphs(log.runs, asked))
+    return kept.select("doc", "lv", F.when(F.col("lv") > F.col("start"), (F.col("lv") - 1).cast("string")).otherwise(spelled(F.col("parents"))).alias("parents"))
 
 
 @query("graph_runs_simple", EV + " SELECT doc, s AS start, e AS \"end\" FROM spans")
@@ -311,21 +320,37 @@ def conflict_spans(spark, sf_dir):
     return runs.explode_runs(graph.conflicts(log.runs, _sided(log)).filter("flag IS NOT NULL")).select("doc", "q", "lv", "flag")
 
 
-@query("concurrency_estimate")
+#: An operation is open from itself to its first child.
+OPEN = """, child AS (SELECT doc, parent AS lv, min(lv) AS child FROM edges WHERE parent IS NOT NULL GROUP BY ALL), n AS (SELECT doc, count(*) AS n FROM ops GROUP BY doc)
+SELECT doc, CAST(sum(coalesce(child, n) - o.lv - 1) AS BIGINT) AS total, count(*) AS ops FROM ops o JOIN n USING (doc) LEFT JOIN child USING (doc, lv) GROUP BY doc"""
+
+
+@query("concurrency_estimate", EV + OPEN)
 def concurrency_estimate(spark, sf_dir):
     log = Log(spark, sf_dir)
     return graph.concurrency(log.runs, graph.tip_versions(log.runs).withColumn("q", F.lit(0).cast("long"))).select("doc", "total", "ops")
 
 
+@query("concurrency_of_logs", EV + OPEN)
+def concurrency_of_logs(spark, sf_dir):
+    return graph.concurrency_of_logs(Log(spark, sf_dir).runs)
+
+
 @query("history_dot")
 def history_dot(spark, sf_dir):
     return graph.dots(Log(spark, sf_dir).runs)
 
 
-@query("chain_cover", EV + " SELECT doc, agent, s AS start, e AS \"end\", 0 AS slot FROM spans")
+#: Two neighbouring users under one name: its spans, and which of a round's each is.
+NAMED = EV + """, named AS (SELECT doc, round, 'w' || (CAST(substr(agent, 2) AS BIGINT) // 2) AS agent, s, e FROM spans),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc, round, agent ORDER BY s) - 1 AS slot FROM named)"""
+
+
+@query("chain_cover", NAMED + " SELECT doc, agent, s AS start, e AS \"end\", slot FROM placed")
 def chain_cover(spark, sf_dir):
     log = Log(spark, sf_dir)
-    return graph.chain_covers(log.runs, log.agents)
+    named, _ = derived.shared_names(log.ops)
+    return graph.chain_covers(log.runs, ids.agent_runs(named))
 
 
 # --- registers, maps, sets, trees -------------------------------------------------------------------------------------
@@ -488,15 +513,21 @@ def trace_roots(spark, sf_dir):
     return stats.many_rooted(Log(spark, sf_dir).runs)
 
 
-@query("agent_order_violations", EV + " SELECT doc, agent, s AS lv FROM spans WHERE false")
+@query("agent_order_violations", NAMED + " SELECT doc, agent, s AS lv FROM placed WHERE slot > 0")
 def agent_order_violations(spark, sf_dir):
     log = Log(spark, sf_dir)
-    return stats.order_violations(log.runs, log.agents)
+    _, spans = derived.shared_names(log.ops)
+    return stats.order_violations(log.runs, derived.agents(spans))
 
 
-@query("unsound_runs", EV + " SELECT doc, s AS start FROM spans WHERE false")
+@query("unsound_runs", EV + """, p AS (SELECT r.doc, r.s, count(parent) AS k FROM spans r LEFT JOIN edges e ON e.doc = r.doc AND e.lv = r.s GROUP BY ALL)
+SELECT doc, s AS start FROM p WHERE s % 7 = 0 OR (s % 7 = 1 AND k >= 2) OR s % 7 = 2""")
 def unsound_runs(spark, sf_dir):
-    return graph.unsound(Log(spark, sf_dir).runs).select("doc", "start")
+    """With faults planted by the start's remainder by 7: a run that is its own parent, parents in the wrong order, an empty run."""
+    at = lambda k: F.col("start") % 7 == k
+    parents = F.when(at(0), F.array_append("parents", F.col("start"))).when(at(1), F.reverse(F.array_sort("parents"))).otherwise(F.col("parents"))
+    planted = Log(spark, sf_dir).runs.select("doc", "start", F.when(at(2), F.col("start")).otherwise(F.col("end")).alias("end"), parents.alias("parents"))
+    return graph.unsound(planted).select("doc", "start")
 
 
 @query("asof_timestamp", EV + ", k AS (SELECT *, CASE WHEN lv % 5 = 0 THEN ts END AS t FROM ops) SELECT doc, agent, seq, epoch_us(last_value(t IGNORE NULLS) OVER (PARTITION BY doc, agent ORDER BY seq ROWS UNBOUNDED PRECEDING)) AS us FROM k")
@@ -542,7 +573,8 @@ def linear_text_length(spark, sf_dir):
     return derived.conversations(spark, sf_dir).groupBy("doc").agg(F.sum("n").alias("n"))
 
 
-DUET = TALK + ", d AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn, role) - 1 AS k FROM c WHERE n > 0), e AS (SELECT *, k // 2 AS pair, role || '-' || k % 2 AS side FROM d)"
+DUET = TALK + """, d AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY turn, role) - 1 AS k FROM c WHERE n > 0), e AS (SELECT *, k // 2 AS pair, role || '-' || k % 2 AS side FROM d),
+p AS (SELECT doc, pair, CAST(sum(n) AS BIGINT) AS n, string_agg(content, '' ORDER BY side) AS content FROM e GROUP BY ALL)"""
 
 
 def _duets(spark, sf_dir):
@@ -550,31 +582,34 @@ def _duets(spark, sf_dir):
     return t["runs"], t["text"], t["agents"], t["tips"].withColumn("q", F.lit(0).cast("long"))
 
 
-@query("text_checkout_concurrent", DUET + " SELECT doc, string_agg(content, '' ORDER BY pair, side) AS content FROM e GROUP BY doc")
+@query("text_checkout_concurrent", DUET + " SELECT doc, string_agg(substr(content, n // 4 + n // 8 + 1), '' ORDER BY pair) AS content FROM p GROUP BY doc")
 def text_checkout_concurrent(spark, sf_dir):
     r, t, a, tips = _duets(spark, sf_dir)
     return text.checkouts(r, t, a, tips).select("doc", "content")
 
 
-@query("text_has_conflicts", DUET + " SELECT doc, count(*) > 1 AS conflicts FROM e WHERE pair = (SELECT max(pair) FROM e x WHERE x.doc = e.doc) GROUP BY doc".replace("count(*) > 1 AS conflicts FROM e WHERE pair = (SELECT max(pair) FROM e x WHERE x.doc = e.doc)", "max(k) >= 1 AS conflicts FROM e"))
+@query("text_has_conflicts", DUET + " SELECT doc, max(k) >= 1 AS conflicts FROM e GROUP BY doc")
 def text_has_conflicts(spark, sf_dir):
     r, t, a, tips = _duets(spark, sf_dir)
     return text.conflicting(r, t, a, tips.select("doc", "q", F.array().cast("array<bigint>").alias("a"), F.col("version").alias("b"))).select("doc", "conflicts")
 
 
-@query("text_transformed_ops", DUET + " SELECT doc, CAST(sum(n) AS BIGINT) AS n, count(*) AS ops FROM e GROUP BY doc")
+@query("text_transformed_ops", DUET + """ SELECT doc, 'Ins' AS kind, CAST(sum(n) AS BIGINT) AS n, 0 AS gone FROM p GROUP BY doc
+UNION ALL SELECT doc, 'Del', CAST(sum(2 * (n // 4)) AS BIGINT), CAST(sum(n // 4 - n // 8) AS BIGINT) FROM p WHERE n >= 4 GROUP BY doc""")
 def text_transformed_ops(spark, sf_dir):
+    """Characters by kind, and how many of the deletions found them gone already."""
     r, t, a, tips = _duets(spark, sf_dir)
     found = text.transformed(r, t, a, tips.select("doc", "q", F.array().cast("array<bigint>").alias("a"), F.col("version").alias("b")))
-    return found.groupBy("doc").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ops"))
+    return found.groupBy("doc", "kind").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("pos").isNull(), F.col("n")).otherwise(0)).alias("gone"))
 
 
-@query("op_shape_histogram", DUET + " SELECT 'Ins' AS kind, CASE WHEN n = 1 THEN 'single' ELSE 'forward' END AS shape, count(*) AS ops, CAST(sum(n) AS BIGINT) AS characters FROM e GROUP BY ALL")
+@query("op_shape_histogram", DUET + """ SELECT 'Ins' AS kind, CASE WHEN n = 1 THEN 'single' ELSE 'forward' END AS shape, count(*) AS ops, CAST(sum(n) AS BIGINT) AS characters FROM e GROUP BY ALL
+UNION ALL SELECT 'Del', CASE WHEN n // 4 = 1 THEN 'single' ELSE shape END, count(*), CAST(sum(n // 4) AS BIGINT) FROM p, (VALUES ('forward'), ('backward')) v(shape) WHERE n >= 4 GROUP BY ALL""")
 def op_shape_histogram(spark, sf_dir):
     return stats.op_shapes(derived.duets(spark, sf_dir)["text"])
 
 
-@query("text_stats", DUET + " SELECT doc, CAST(sum(n) AS BIGINT) AS inserted, 0 AS deleted, CAST(sum(n) AS BIGINT) AS keystrokes, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes FROM e GROUP BY doc")
+@query("text_stats", DUET + """ SELECT doc, CAST(sum(n) AS BIGINT) AS inserted, CAST(sum(2 * (n // 4)) AS BIGINT) AS deleted, CAST(sum(n + 2 * (n // 4)) AS BIGINT) AS keystrokes, CAST(sum(strlen(content)) AS BIGINT) AS content_bytes FROM p GROUP BY doc""")
 def text_stats(spark, sf_dir):
     return stats.text_stats(derived.duets(spark, sf_dir)["text"])
 
@@ -598,7 +633,10 @@ def transform_cursor(spark, sf_dir):
     return derived.conversations(spark, sf_dir).select("doc", "turn", "role", at("Ins").alias("ins"), at("Del").alias("del"))
 
 
-@query("calc_diff")
+@query("calc_diff", TALK + """, t AS (SELECT *, lag(content) OVER (PARTITION BY doc ORDER BY turn, role) AS old FROM c),
+h AS (SELECT *, least(length(old), n) AS most, (SELECT max(k) FROM range(0, least(length(old), n) + 1) r(k) WHERE left(old, k) = left(content, k)) AS head FROM t WHERE old IS NOT NULL),
+g AS (SELECT *, (SELECT max(k) FROM range(0, most - head + 1) r(k) WHERE right(old, k) = right(content, k)) AS tail FROM h)
+SELECT doc, turn, role, head AS pos, CAST(length(old) - head - tail AS BIGINT) AS removed, CAST(n - head - tail AS BIGINT) AS added FROM g""")
 def calc_diff(spark, sf_dir):
     rows = derived.conversations(spark, sf_dir).withColumn("old", F.lag("content").over(Window.partitionBy("doc").orderBy("turn", "role"))).filter("old IS NOT NULL")
     return rows.select("doc", "turn", "role", scalars.calc_diff(F.col("old"), F.col("content")).alias("d")).select("doc", "turn", "role", "d.pos", F.col("d.del").alias("removed"), F.length("d.ins").cast("long").alias("added"))
