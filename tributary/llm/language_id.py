@@ -19,14 +19,13 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_az, map_arrow, stash, table, without_ids
+from .common import join_counted, lower_az, map_arrow, stash, table, without_rows
 from .textnum import _LOWER, _WORD, blocks, texts
 
 ROWS, BITS, LEAST_ROWS = 6000, 15, 5
@@ -136,28 +135,44 @@ def fuse(rows: DataFrame, model: tuple[list[str], np.ndarray], ids: list[str]) -
     given = tagged.select(*ids, declared.alias("declared"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("suffix", F.lit("")).alias("suffix"), "text")
     seen = stash(map_arrow(given, lambda b: likelihood_batches(b, table_), schema), "evidence")
 
-    each = range(len(languages))
-    hits = [F.sum(F.when(F.col("guess") == k, 1).otherwise(0)).alias(f"h{k}") for k in each]
-    hosts = seen.groupBy("suffix", "host").agg(*hits)
-    suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"h{k}").alias(f"s{k}") for k in each])
-    whole = suffixes.agg(*[F.coalesce(F.sum(f"s{k}"), F.lit(0)).alias(f"g{k}") for k in each])
-    priors = hosts.join(suffixes, "suffix").join(F.broadcast(whole))  # one row
+    # counts of each language by host, by suffix and over all, as arrays with an element a language
+    width = len(languages)
+    each = F.sequence(F.lit(0), F.lit(width - 1))
+    counts = lambda: F.map_from_entries(F.collect_list(F.struct("guess", "hits")))
+    dense = lambda m: F.transform(each, lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0)).cast("double"))
+    by_place = stash(seen.groupBy("suffix", "host", "guess").agg(F.count(F.lit(1)).alias("hits")), "places")
+    hosts = by_place.groupBy("suffix", "host").agg(F.sum("hits").alias("rows"), counts().alias("m")).select("suffix", "host", "rows", dense(F.col("m")).alias("h"))
+    hosts = stash(hosts, "hosts")
+    suffixes = by_place.groupBy("suffix", "guess").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("places"))
+    n_hosts = hosts.groupBy("suffix").agg(F.count(F.lit(1)).alias("hosts"))
+    suffixes = suffixes.groupBy("suffix").agg(counts().alias("m")).join(n_hosts, "suffix").select("suffix", "hosts", dense(F.col("m")).alias("s"))
+    priors = stash(join_counted(hosts, stash(suffixes, "suffixes"), ["suffix"], "hosts", hosts.count()).drop("hosts"), "priors")
+    whole = {r["guess"]: r["hits"] for r in by_place.groupBy("guess").agg(F.sum("hits").alias("hits")).collect()}  # one row a language
+    g = F.lit([float(whole.get(k, 0)) for k in range(width)])
+    total = float(sum(n for k, n in whole.items() if k >= 0))
 
     values = [*languages, "other"]
     counted = {(r["guess"], r["declared"]): r["count"] for r in seen.filter("declared IS NOT NULL AND guess >= 0").groupBy("guess", "declared").count().collect()}  # languages x (languages + 1)
-    said = lambda k: [(counted.get((k, v), 0) + 1.0) / (sum(counted.get((k, w), 0) for w in values) + len(values)) for v in values]
-    log_said = [np.log(said(k)).tolist() for k in each]
-
-    add = lambda x: reduce(lambda a, b: a + b, x)
-    own = lambda k: F.when(F.col("guess") == k, 1).otherwise(0)  # noqa: E731  the row's own part of the counts
-    base = [(F.col(f"g{k}") - own(k) + 1.0) / (add([F.col(f"g{j}") - own(j) for j in each]) + float(len(languages))) for k in each]
-    by_suffix = [(F.col(f"s{k}") - own(k) + WEIGHT * base[k]) / (add([F.col(f"s{j}") - own(j) for j in each]) + WEIGHT) for k in each]
-    by_host = [(F.col(f"h{k}") - own(k) + WEIGHT * by_suffix[k]) / (add([F.col(f"h{j}") - own(j) for j in each]) + WEIGHT) for k in each]
-    declares = lambda k: reduce(lambda w, v: w.when(F.col("declared") == v[0], F.lit(v[1])), list(zip(values, log_said[k], strict=True))[1:], F.when(F.col("declared") == values[0], F.lit(log_said[k][0]))).otherwise(0.0)
-    scores = F.array(*[F.struct((F.log(by_host[k]) + F.element_at("ll", k + 1) + declares(k)).alias("v"), F.lit(languages[k]).alias("lang")) for k in each])
-    scored = seen.join(priors, ["suffix", "host"]).withColumn("scores", scores).withColumn("best", F.array_max("scores"))
+    spoken = [sum(counted.get((k, v), 0) for v in values) for k in range(width)]
+    log_said = [[float(np.log((counted.get((k, v), 0) + 1.0) / (spoken[k] + len(values)))) for k in range(width)] for v in values]
+    said = F.when(F.col("declared").isNotNull(), F.element_at(F.lit(log_said), F.array_position(F.lit(values), F.col("declared")).cast("int")))
+
+    added = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
+    met = join_counted(seen, priors, ["suffix", "host"], "rows", seen.count())
+    met = met.select(*ids, "declared", "n", "ll", "guess", "h", "s", said.alias("said"), (F.col("guess") >= 0).cast("double").alias("own"), added("s").alias("s_all"), added("h").alias("h_all"))
+
+    def log_score(k):
+        at = lambda x: F.element_at(x, k + 1)
+        mine = (F.col("guess") == k).cast("double")  # the row's own part of the counts
+        base = (at(g) - mine + 1.0) / (F.lit(total + width) - F.col("own"))
+        by_suffix = (at(F.col("s")) - mine + WEIGHT * base) / (F.col("s_all") - F.col("own") + WEIGHT)
+        by_host = (at(F.col("h")) - mine + WEIGHT * by_suffix) / (F.col("h_all") - F.col("own") + WEIGHT)
+        return F.log(by_host) + at(F.col("ll")) + F.coalesce(at(F.col("said")), F.lit(0.0))
+
+    names = F.lit(languages)
+    scored = met.withColumn("scores", F.transform(each, lambda k: F.struct(log_score(k).alias("v"), F.element_at(names, k + 1).alias("lang")))).withColumn("best", F.array_max("scores"))
     posterior = 1.0 / F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x["v"] - F.col("best.v")))
-    out = scored.select(*ids, F.col("best.lang").alias("lang"), posterior.alias("posterior"), F.when(F.col("guess") >= 0, F.element_at(F.array(*map(F.lit, languages)), F.greatest("guess", F.lit(0)) + 1)).alias("text_lang"), "declared", "n")
+    out = scored.select(*ids, F.col("best.lang").alias("lang"), posterior.alias("posterior"), F.when(F.col("guess") >= 0, F.element_at(names, F.greatest("guess", F.lit(0)) + 1)).alias("text_lang"), "declared", "n")
     return out.withColumn("accepted", (F.col("n") > 0) & (F.col("posterior") >= ACCEPT) & F.lit(languages != ["und"])).drop("n")
 
 
@@ -174,11 +189,13 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents that are not rejected, with all their columns. A row is judged by its own text; rows without doc_id are kept."""
+    """The documents that are not rejected, with all their columns. Each row is judged by its own text, lang and source, and rows
+    are told apart by doc_id (null or not) and a 64-bit hash of these."""
     model = train(docs)
-    judged = fuse(document_rows(docs), model, ["doc_id", "page_id"])
+    row = lambda d: F.xxhash64(d["text"].cast("string"), d["lang"].cast("string"), d["source"].cast("string"))
+    judged = fuse(document_rows(docs).withColumn("row", F.xxhash64("text", "declared", "host")), model, ["doc_id", "row"])
     rejected = "text_lang IS NULL" if model[0] == ["und"] else "NOT accepted"  # nothing to learn a language from is no reason to reject
-    return without_ids(docs, judged.filter(f"{rejected} AND doc_id IS NOT NULL").select("doc_id"))
+    return without_rows(docs, judged.filter(rejected), row(docs))
 
 
 def op10_language_id(spark, sf_dir):
