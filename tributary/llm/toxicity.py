@@ -1,8 +1,9 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: the sets of its words, word pairs and pairs with one word between, hashed to 2**18 coordinates.
-Training: a sample of at most `rows` labelled rows (by the hash of their ids) is featurised on the executors; the driver
-fits FTRL-proximal with per-coordinate rates, L1 and L2 in `epochs` passes. L1 leaves few weights; these, at most
+Training: labelled rows are featurised on the executors; the first of them, by the hash of id and text, are the sample: at most `rows`
+labels, and no more than together have `size` bytes of features (a longer text than all that is left is passed over). The driver
+fits FTRL-proximal on them with per-coordinate rates, L1 and L2 in `epochs` passes. L1 leaves few weights; these, at most
 2**18 floats whatever the input, are what each task gets. Scoring reads each text once, whole, without a shuffle.
 
 Defined results: a null or empty text scores the intercept; null labels and labels of unknown documents are not learned
@@ -12,6 +13,7 @@ their row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, stash, table
 from .textnum import Words, blocks, mix, sum_by, texts
 
 BITS = 18
-ROWS = 12000
+ROWS, SIZE = 12_000, 32 << 20  # bounds of the sample: labels, and bytes of their texts' features
 SCHEMA = "doc_id long, score double"
 
 
@@ -47,13 +49,13 @@ def once(coordinates: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def featurised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = texts(batch.column(1))
+        data, offsets = texts(batch.column(2))
         sets = []
         for i, j in blocks(offsets):
             at, owner = once(*features(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])))
             cut = np.searchsorted(owner, np.arange(j - i + 1))
             sets += [at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["toxic", "at"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["place", "toxic", "size", "at"])
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float = 1.0, l1: float = 5.0, l2: float = 0.0, epochs: int = 4, positive: float = 2.0) -> np.ndarray:
@@ -79,39 +81,74 @@ def ftrl(rows: list[tuple[np.ndarray, int]], alpha: float = 2.0, beta: float = 1
     return weights
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights from at most `rows` of the given labels (doc_id, toxic); hold rows out before."""
-    sample = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows)
-    sample = F.broadcast(sample)  # at most `rows` rows of two numbers
-    texts_ = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id").select("toxic", "_text")
-    found = map_arrow(texts_, featurised, "toxic int, at binary").limit(2 * rows).collect()
-    found.sort(key=lambda r: (r["at"], r["toxic"]))  # whatever order the tasks gave
-    if not found:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> np.ndarray:
+    """Weights from a bounded sample of the given labels (doc_id, toxic); hold rows out before."""
+    usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    sample = F.broadcast(usable.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(rows))  # at most `rows` rows of two numbers
+    texts_ = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(sample, "_id")
+    # an id may have many rows: of them all, the first `rows` by place
+    found = stash(map_arrow(texts_.select(F.xxhash64("_id", "_text").alias("place"), "toxic", "_text"), featurised, "place long, toxic int, size long, at binary"), "features")
+    kept, left = [], size
+    for r in found.select("place", "toxic", "size").orderBy("place", "toxic", "size").limit(rows).collect():  # three numbers a row
+        if r["size"] <= left:
+            left -= r["size"]
+            kept.append((r["place"], r["toxic"]))
+    if not kept:
         out = np.zeros((1 << BITS) + 1)
         out[-1] = np.log(0.1 / 0.9)
         return out
-    return ftrl([(np.frombuffer(r["at"], np.int32), r["toxic"]) for r in found])
+    chosen = docs.sparkSession.createDataFrame([(p, t, n) for (p, t), n in Counter(kept).items()], "place long, toxic int, copies int")
+    distinct = found.join(F.broadcast(chosen), ["place", "toxic"]).groupBy("place", "toxic", "copies").agg(F.first("at").alias("at")).collect()  # `size` bytes at most
+    chosen_rows = [(np.frombuffer(r["at"], np.int32), r["toxic"]) for r in sorted(distinct, key=lambda r: (r["place"], r["toxic"])) for _ in range(r["copies"])]
+    return ftrl(chosen_rows)
 
 
-def score_batches(batches: Iterator[pa.RecordBatch], at: np.ndarray, weight: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
-    weights = np.zeros(1 << BITS)
-    weights[at] = weight
-    live = weights != 0
-    for batch in batches:
-        data, offsets = texts(batch.column(1))
-        out = np.empty(len(batch))
+class Scorer:
+    """Scores of texts under the live weights."""
+
+    def __init__(self, at: np.ndarray, weight: np.ndarray, intercept: float):
+        self.weights, self.intercept = np.zeros(1 << BITS), intercept
+        self.weights[at] = weight
+        self.live = self.weights != 0
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        data, offsets = texts(column)
+        out = np.empty(len(column))
         for i, j in blocks(offsets):
             c, owner = features(Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            keep = live[c]
+            keep = self.live[c]
             c, owner = once(c[keep], owner[keep])
-            out[i:j] = sum_by(weights[c], owner, j - i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(out + intercept, -35, 35))))], names=["doc_id", "score"])
+            out[i:j] = sum_by(self.weights[c], owner, j - i)
+        return 1 / (1 + np.exp(-np.clip(out + self.intercept, -35, 35)))
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def live(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     at = np.flatnonzero(weights[:-1])
-    weight, intercept = weights[:-1][at], float(weights[-1])
-    return map_arrow(docs.select(id_col, text_col), lambda batches: score_batches(batches, at, weight, intercept), SCHEMA)
+    return at, weights[:-1][at], float(weights[-1])
+
+
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    model = live(weights)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scorer(batch.column(1)))], names=["doc_id", "score"])
+
+    return map_arrow(docs.select(id_col, text_col), scored, SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = ROWS, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that aren't predicted toxic; each row is judged by its own text, in place."""
+    model = live(train(docs, labels.filter(~held_out(F.col("doc_id"))), rows, text_col=text_col))
+    at = docs.columns.index(text_col)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*model)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(at)) < 0.5))
+
+    return map_arrow(docs, clean, docs.schema)
 
 
 def held_out(col):
