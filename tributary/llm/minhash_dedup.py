@@ -16,9 +16,13 @@ are compared with the bucket's hub. Only buckets that still hold different compo
 different components pair; beyond, the members outside the bucket's largest component meet all members in blocks of at most about
 128 by 256, whose shared shingles are counted as a matrix product and only whose promising pairs are aligned.
 
+Buckets, texts and classes that many rows have are joined by broadcast, so no task gets the rows of one.
+
 Defined results: class_id is the least doc_id of the class; texts of equal words, so all texts without words, are one
-class; null text counts as empty; rows that share a doc_id are one document and one class; a row without doc_id is
-compared with none: its class_id is null and it is kept; an empty table gives an empty result; further columns are ignored.
+class; null text counts as empty; each row is judged by its own text, so rows that share a doc_id but not their words may be in
+different classes; of a class, the rows of class_id stay whose words are those of its first text, and repeated rows stay or go
+together; a row without doc_id is compared with none: its class_id is null and it is kept; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash, table, without_ids
+from .common import join_counted, map_arrow, stash, table, without_rows
 from .components import components
 from .textnum import K1, K2, Words, blocks, mix, texts
 
@@ -41,7 +45,7 @@ SMALL, SMALL_BANDS, SMALL_PICK = 15, 16, 3
 PAIRED, SIDE = 32, (128, 256)  # buckets up to PAIRED members list their pairs; larger ones are compared in blocks of these sizes
 COLUMNS = 8192
 ORDERS = mix(np.arange(1, 200, dtype=np.uint64) * K2) | np.uint64(1)
-SKETCH = "doc_id long, words binary, n int, bands array<long>"
+SKETCH = "doc_id long, mark long, words binary, n int, bands array<long>"
 
 
 def shingles(words: Words) -> list[np.ndarray]:
@@ -95,7 +99,7 @@ def sketch(s: np.ndarray, marks: np.ndarray, bands: int, pick: int, salt: int) -
 
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = texts(batch.column(1))
+        data, offsets = texts(batch.column(2))
         whole, sizes, bands = [], [], []
         for i, j in blocks(offsets):
             words = Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -113,7 +117,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if len(s) <= SMALL:
                     keys = np.concatenate([keys, sketch(s, marks, SMALL_BANDS, SMALL_PICK, MIDDLE_BANDS)])
                 bands.append(keys.view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "words", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "mark", "words", "n", "bands"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> bool:
@@ -224,24 +228,31 @@ def alike_in_blocks(buckets: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id, kept."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return classes(docs, id_col, text_col).drop("mark")
+
+
+def classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """near_classes' rows, with mark, a 64-bit hash of the text."""
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).cast("string").alias("text"))
     sketches = stash(map_arrow(plain, sketch_batches, SKETCH), "sketches")
-    nodes = stash(sketches.filter("doc_id IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    # a node is a text of its own; `first` says where to find it
+    grouped = sketches.filter("doc_id IS NOT NULL").groupBy("words").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = stash(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
     members = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("key", "hub")
-    shared = stash(members.join(hubs, "key").distinct(), "shared")  # key, node, n, hub
-    wanted = shared.select("node").distinct()
-    candidates = stash(within(plain.withColumnRenamed("doc_id", "node"), wanted), "candidates")
+    hubs = stash(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1"), "hubs")
+    met = join_counted(members, hubs, ["key"], "size", hubs.agg(F.sum("size")).first()[0] or 0)
+    shared = stash(met.select("key", "node", "n", "hub").distinct(), "shared")
+    candidates = texts_of(plain, nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "first.doc_id", "first.mark"))
 
     fits = lambda x, y: (F.least(x, y) * 5 >= F.greatest(x, y) * 4)  # noqa: E731  at 0.8 lengths differ by a quarter at most
     to_hub = shared.filter(F.col("node") != F.col("hub.node")).filter(fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     links = stash(alike(to_hub, candidates), "links")
     comps = components(links)
 
-    named = shared.join(comps, "node", "left").select("key", "node", "n", F.col("hub.node").alias("hub"), F.coalesce("comp", "node").alias("comp"))
+    named = stash(shared.join(comps, "node", "left").select("key", "node", "n", F.col("hub.node").alias("hub"), F.coalesce("comp", "node").alias("comp")), "named")
     counted = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    mixed = counted.groupBy("key").agg(F.sum("size").alias("members"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    left = stash(named.join(mixed.drop("comps"), "key"), "mixed")
+    mixed = stash(counted.groupBy("key").agg(F.sum("size").alias("members"), F.max(F.struct("size", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps"), "mixed-keys")
+    left = stash(join_counted(named, mixed, ["key"], "members", named.count()), "mixed")
 
     few = left.filter((F.col("members") <= PAIRED) & (F.col("node") != F.col("hub")))  # pairs with the hub are done
     x, y = few.alias("x"), few.alias("y")
@@ -251,21 +262,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not more.isEmpty():
         comps = components(links.union(more))
 
-    of_node = nodes.select("words", "node").join(comps, "node", "left").select("words", F.coalesce("comp", "node").alias("class_id"))
-    out = sketches.select("doc_id", "words").join(of_node, "words", "left")
-    mine = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
-    return out.select("doc_id", mine.alias("class_id"), F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    linked = stash(comps.join(nodes.select("node", F.col("first.doc_id").alias("id")), "node"), "linked")
+    best = stash(linked.groupBy("comp").agg(F.min(F.struct("id", "node")).alias("keeper"), F.count(F.lit(1)).alias("size")), "keepers")
+    kept = join_counted(linked, best, ["comp"], "size", linked.count()).select("node", "keeper")
+    own = F.struct(F.col("first.doc_id").alias("id"), F.col("node"))
+    of_words = stash(nodes.join(kept, "node", "left").select("words", "rows", "node", F.coalesce("keeper", own).alias("keeper")), "classes")
+    named_rows = sketches.filter("doc_id IS NOT NULL").select("doc_id", "mark", "words")
+    out = join_counted(named_rows, of_words, ["words"], "rows", sketches.count())
+    out = out.select("doc_id", "mark", F.col("keeper.id").alias("class_id"), ((F.col("doc_id") == F.col("keeper.id")) & (F.col("node") == F.col("keeper.node"))).alias("kept"))
+    return out.unionByName(sketches.filter("doc_id IS NULL").select("doc_id", "mark", F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept")))
 
 
-def within(docs: DataFrame, wanted: DataFrame, bound: int = 500_000) -> DataFrame:
-    """Rows of docs whose node is wanted. Up to `bound` ids (8 bytes each) are broadcast; more are joined by a shuffle."""
+def texts_of(plain: DataFrame, wanted: DataFrame, bound: int = 500_000) -> DataFrame:
+    """(node, text) of the wanted (node, doc_id, mark). Up to `bound` of them, 24 bytes each, are broadcast; more are joined by a shuffle."""
+    wanted = stash(wanted, "wanted")
     small = wanted.limit(bound + 1).count() <= bound
-    return docs.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), "node", "left_semi")
+    found = stash(plain.join(F.broadcast(wanted) if small else wanted.hint("shuffle_hash"), ["doc_id", "mark"]).select("node", "text"), "candidates")
+    return found if found.count() == wanted.count() else stash(found.groupBy("node").agg(F.first("text").alias("text")), "candidates")  # of repeated rows one
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents of which each class keeps one, with all their columns."""
-    return without_ids(docs, near_classes(docs.select("doc_id", "text")).filter("NOT kept").select("doc_id"))
+    """The documents of which each class keeps one, with all their columns. Rows are told apart by doc_id and a 64-bit hash of the text."""
+    judged = classes(docs.select("doc_id", "text"), "doc_id", "text").filter("NOT kept").select("doc_id", F.col("mark").alias("row"))
+    return without_rows(docs, judged, F.xxhash64(docs["text"].cast("string")))
 
 
 def op7_minhash_dedup(spark, sf_dir):
