@@ -1,25 +1,28 @@
 """Token files with a minimal-perfect-hash index.
 
-Writing: documents are dealt into shards by ranges of doc_id, sorted in each, tokenised, and written as rows of two kinds:
+Writing: documents are dealt into parts by ranges of (doc_id, hash of the text), sorted in each, tokenised, and written as
+shards, one Parquet row each, of whole documents with about 1 MiB of ids:
 
-  payload  shard, block, first, n_docs, n_ids, width, ids, lengths, data: data holds the ids of n_docs whole documents one
-           after another, as little-endian unsigned 16-bit integers (32-bit if the vocabulary needs them), about 1 MiB of
-           them; first is how many ids of the shard stand before; ids and lengths name the documents. Stored uncompressed
-  index    shard, n_docs, n_ids, width, seeds, prints, offsets, lengths, firsts: seeds is the displacement of each bucket
-           of the minimal perfect hash; prints, offsets and lengths have for each slot a 32-bit fingerprint of the key, the
-           document's first id in the shard and its number of ids; firsts has each block's first
+  place    part, shard, first (ids of the part before the shard), n_docs, n_null (documents without id, which come first), n_ids,
+           width, low and high (the least and the greatest key)
+  index    seeds: the displacement of each bucket of the minimal perfect hash; for each slot: keys, prints (a 32-bit
+           fingerprint of the key), rows (the document's number in the shard), offsets (its first id in the shard)
+  payload  lengths (of all documents, in order); data: their ids one after another, as little-endian unsigned 16-bit integers
+           (32-bit if the vocabulary needs them)
 
-Shards ascend by doc_id, and so do documents in a shard. A key costs two hashes and one read of each array, then one
-block; the block's own ids exclude a false match of the fingerprint. Rows go through Spark's own writer: task
-retries and lost executors leave no half shard.
+Uncompressed, so ids are raw. Parts and shards ascend by doc_id, and so do documents in a shard. A key's shard is found by low
+and high, which Parquet's statistics prune by; in it, the key costs two hashes and one read of each of the slot's arrays: seed,
+slot, fingerprint, offset. All reading goes this way. Rows go through Spark's own writer: task retries and lost executors
+leave no half shard.
 
 Tokenising encodes each distinct piece of text once per worker where that can't change the result: byte-level
 pre-tokens never cross the place between a non-space and a single space before a non-space. Texts and tokenizers for
 which that can't be told are encoded whole.
 
-Defined results: a null or empty text has the end id alone; documents without id come first, ties in id are ordered
-by text; rows repeated under one id stand one after another and the key leads to the first; an empty table gives
-empty files and an empty result; further columns are ignored.
+Defined results: a null or empty text has the end id alone; documents without id come first and have no key; ties in id are
+ordered by the text's hash, so an id that many rows share is spread over parts; rows repeated under one id stand one after
+another, a shard's slot leads to its first of them, and lookup gives all; a key that isn't there gives no row; an empty
+table gives empty files and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +46,7 @@ from .textnum import mix
 END = 2
 BLOCK = 1 << 20
 PIECES = 900_000  # distinct pieces in each of two generations that a worker keeps
-FILE = "kind string, shard int, block int, first long, n_docs long, n_ids long, width int, ids binary, lengths binary, data binary, seeds binary, prints binary, offsets binary, firsts binary"
-PAYLOAD = ["shard", "block", "first", "n_docs", "n_ids", "width", "ids", "lengths", "data"]
-INDEX = ["shard", "n_docs", "n_ids", "width", "seeds", "prints", "offsets", "lengths", "firsts"]
-NO_ID = -(1 << 63)
+FILE = "part int, shard int, first long, n_docs long, n_null long, n_ids long, width int, low long, high long, seeds binary, keys binary, prints binary, rows binary, offsets binary, lengths binary, data binary"
 
 
 class Encoder:
@@ -154,22 +155,49 @@ def print_of(keys: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """One shard's index: keyed access in constant time."""
+    """One shard: keyed access in constant time."""
 
-    def __init__(self, row: dict):
-        self.seeds, self.prints = np.frombuffer(row["seeds"], "<u4"), np.frombuffer(row["prints"], "<u4")
-        self.offsets, self.lengths, self.firsts = (np.frombuffer(row[x], "<i8") for x in ("offsets", "lengths", "firsts"))
+    KINDS = {"seeds": "<u4", "keys": "<i8", "prints": "<u4", "rows": "<u4", "offsets": "<i8", "lengths": "<i8"}
 
-    def find(self, doc_id: int) -> tuple[int, int, int] | None:
-        """(block, first id in the block, number of ids) where the fingerprint fits, or None."""
-        if not len(self.prints):
-            return None
-        key = np.array([doc_id], dtype=np.int64)
-        slot = int(slot_of(key, self.seeds[bucket_of(key, len(self.seeds))], len(self.prints))[0])
-        if self.prints[slot] != print_of(key)[0]:
-            return None
-        block = int(np.searchsorted(self.firsts, self.offsets[slot], side="right")) - 1
-        return block, int(self.offsets[slot] - self.firsts[block]), int(self.lengths[slot])
+    def __init__(self, row: dict):
+        for name, kind in self.KINDS.items():
+            setattr(self, name, np.frombuffer(row[name], kind))
+        self.n_docs, self.n_null = row["n_docs"], row["n_null"]
+        self.ends = np.cumsum(self.lengths)
+        #: Where each key's rows end: where the next one's begin.
+        self.order = np.argsort(self.rows, kind="stable")
+        self.after = np.empty(len(self.rows), dtype=np.int64)
+        self.after[self.order] = np.append(self.rows[self.order][1:], self.n_docs)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key by seed and hash, or -1 where the fingerprint or then the key differs."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = slot_of(keys, self.seeds[bucket_of(keys, len(self.seeds))], len(self.keys))
+        return np.where((self.prints[at] == print_of(keys)) & (self.keys[at] == keys), at, -1)
+
+    def documents(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, first id, ids) of the documents of each key; a key's further documents follow its first."""
+        at = self.slots(keys)
+        at = at[at >= 0]
+        counts = self.after[at] - self.rows[at]
+        of = np.repeat(at, counts)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+        row = self.rows[of].astype(np.int64) + nth
+        before = self.ends - self.lengths
+        return self.keys[of], self.offsets[of] + before[row] - before[self.rows[of]], self.lengths[row]
+
+    def without_key(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, ids) of the documents without id."""
+        n = self.lengths[: self.n_null]
+        return self.ends[: self.n_null] - n, n
+
+
+def shards_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, Shard, np.ndarray]]:
+    """(row without its payload, index, ids) of each shard; nothing is copied."""
+    for r in range(len(batch)):
+        row = {n: batch.column(n)[r].as_buffer() if pa.types.is_binary(batch.schema.field(n).type) or pa.types.is_large_binary(batch.schema.field(n).type) else batch.column(n)[r].as_py() for n in batch.schema.names}
+        yield row, Shard(row), np.frombuffer(row["data"], f"<u{row['width']}")
 
 
 def encoder_of_worker(tokenizer_json: str, width: int) -> Encoder:
@@ -185,48 +213,48 @@ def encoder_of_worker(tokenizer_json: str, width: int) -> Encoder:
     return kept[name]
 
 
+def shard_row(part: int, shard: int, first: int, ids: list[int | None], held: list[bytes], width: int) -> pa.RecordBatch:
+    """A shard of the documents with these ids (None first, then ascending) and packed token ids."""
+    n_null = sum(x is None for x in ids)
+    every = np.array(ids[n_null:], dtype=np.int64)
+    lengths = np.array([len(x) // width for x in held], dtype="<i8")
+    fresh = np.ones(len(every), dtype=bool)
+    fresh[1:] = every[1:] != every[:-1]
+    keys, rows = every[fresh], np.flatnonzero(fresh) + n_null
+    starts = np.cumsum(lengths) - lengths
+    seeds, slots = perfect_hash(keys)
+    by_slot = {"keys": (keys, "<i8"), "prints": (print_of(keys), "<u4"), "rows": (rows, "<u4"), "offsets": (starts[rows], "<i8")}
+    row = dict(part=part, shard=shard, first=first, n_docs=len(ids), n_null=n_null, n_ids=int(lengths.sum()), width=width, low=int(keys[0]) if len(keys) else None, high=int(keys[-1]) if len(keys) else None)
+    for name, (values, kind) in by_slot.items():
+        placed = np.empty(len(keys), dtype=kind)
+        placed[slots] = values
+        row[name] = placed.tobytes()
+    row |= dict(seeds=seeds.astype("<u4").tobytes(), lengths=lengths.tobytes(), data=b"".join(held))
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [x.split() for x in FILE.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([row[n]], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
+
+
 def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, width: int, end: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (doc_id, text) of one shard to its payload rows and its index row."""
+    """Sorted (doc_id, text) of one part to its shards."""
     from pyspark import TaskContext
 
-    shard, encoder = TaskContext.get().partitionId(), encoder_of_worker(tokenizer_json, width)
+    part, encoder = TaskContext.get().partitionId(), encoder_of_worker(tokenizer_json, width)
     closing = np.array([end], dtype=encoder.kind).tobytes()
-    fields = [x.split() for x in FILE.split(", ")]
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    row = lambda **x: pa.RecordBatch.from_arrays([pa.array([x.get(n)], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
-    longs = lambda x: np.array(x, dtype="<i8").tobytes()
-    ids: list[int] = []
-    lengths: list[int] = []
+    ids: list[int | None] = []
     held: list[bytes] = []
-    firsts, size, done, total = [], 0, 0, 0
-
-    def payload() -> pa.RecordBatch:
-        return row(kind="payload", shard=shard, block=len(firsts) - 1, first=firsts[-1], n_docs=len(held), n_ids=size // width, width=width, ids=longs(ids[done:]), lengths=longs(lengths[done:]), data=b"".join(held))
-
+    shard, size, first = 0, 0, 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            packed = encoder.encode(text or "") + closing
-            ids.append(NO_ID if key is None else key)
-            lengths.append(len(packed) // width)
-            held.append(packed)
-            size += len(packed)
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held.append(encoder.encode(text.as_py() or "") + closing)
+            ids.append(key)
+            size += len(held[-1])
             if size >= BLOCK:
-                firsts.append(total)
-                yield payload()
-                total += size // width
-                held, size, done = [], 0, len(ids)
+                yield shard_row(part, shard, first, ids, held, width)
+                shard, first = shard + 1, first + size // width
+                ids, held, size = [], [], 0
     if held:
-        firsts.append(total)
-        yield payload()
-    if ids:
-        every, sizes = np.array(ids, dtype=np.int64), np.array(lengths, dtype=np.int64)
-        fresh = every != NO_ID
-        fresh[1:] &= every[1:] != every[:-1]
-        starts, keys = np.cumsum(sizes) - sizes, every[fresh]
-        seeds, slots = perfect_hash(keys)
-        prints, offsets, by_slot = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8")
-        prints[slots], offsets[slots], by_slot[slots] = print_of(keys), starts[fresh], sizes[fresh]
-        yield row(kind="index", shard=shard, n_docs=len(ids), n_ids=int(sizes.sum()), width=width, seeds=seeds.astype("<u4").tobytes(), prints=prints.tobytes(), offsets=offsets.tobytes(), lengths=by_slot.tobytes(), firsts=longs(firsts))
+        yield shard_row(part, shard, first, ids, held, width)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = END, shards: int | None = None) -> None:
@@ -236,52 +264,61 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end: int = END
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     width = 2 if Tokenizer.from_str(tokenizer_json).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    by = F.asc_nulls_first("doc_id")
-    dealt = plain.repartitionByRange(shards, by) if shards else plain.repartitionByRange(by)
-    rows = map_arrow(dealt.sortWithinPartitions(by, "text"), lambda b: shard_batches(b, tokenizer_json, width, end), FILE)
-    rows.write.option("compression", "none").partitionBy("kind").parquet(path)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    by = [F.asc_nulls_first("doc_id"), F.asc("mark")]
+    dealt = plain.repartitionByRange(shards, *by) if shards else plain.repartitionByRange(*by)
+    rows = map_arrow(dealt.sortWithinPartitions(*by).select("doc_id", "text"), lambda b: shard_batches(b, tokenizer_json, width, end), FILE)
+    rows.write.option("compression", "none").parquet(path)
 
 
-def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    whole = spark.read.schema(FILE).parquet(path)
-    return whole.filter("kind = 'payload'").select(*PAYLOAD), whole.filter("kind = 'index'").select(*INDEX)
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(FILE).parquet(path)
 
 
 def digest_batches(batches: Iterator[pa.RecordBatch], before: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Payload rows to one row per document."""
+    """Shards to one row per document, each found by its key: seed, slot, fingerprint, offset."""
     for batch in batches:
-        for r in range(len(batch)):
-            at = lambda name: batch.column(name)[r].as_buffer() if name in ("ids", "lengths", "data") else batch.column(name)[r].as_py()  # noqa: B023, E731
-            ids, lengths = np.frombuffer(at("ids"), "<i8"), np.frombuffer(at("lengths"), "<i8")
-            data = np.frombuffer(at("data"), f"<u{at('width')}")
-            ends = np.cumsum(lengths)
-            crcs = [zlib.crc32(data[b - n : b].astype("<u4")) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-            starts = ends - lengths + before[at("shard")] + at("first")
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for row, shard, data in shards_of(batch):
+            starts, lengths = shard.without_key()
+            keys, at, n = shard.documents(shard.keys[shard.order])
+            if len(starts) + len(keys) != shard.n_docs:
+                raise ValueError(f"the index of part {row['part']}, shard {row['shard']} doesn't lead to all of its documents")
+            starts, lengths = np.concatenate([starts, at]), np.concatenate([lengths, n])
+            crcs = [zlib.crc32(data[a : a + k].astype("<u4")) for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)]
+            ids = pa.concat_arrays([pa.nulls(shard.n_null, pa.int64()), pa.array(keys, pa.int64())])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(starts + (before[row["part"]] + row["first"]), pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    payload, index = read_tables(spark, path)
-    totals = sorted((r["shard"], r["n_ids"]) for r in index.select("shard", "n_ids").collect())  # two numbers for each task that wrote
+    shards = read_shards(spark, path)
+    totals = sorted((r["part"], r["n"]) for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # two numbers for each task that wrote
     sums = np.cumsum([0, *(n for _, n in totals)]).tolist()
-    before = {shard: start for (shard, _), start in zip(totals, sums[:-1], strict=True)}
-    return map_arrow(payload, lambda b: digest_batches(b, before), "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
-    """A document's ids by its key, from the shards whose index has its fingerprint."""
-    payload, index = read_tables(spark, path)
-    for r in index.toLocalIterator():
-        if found := Shard(r.asDict()).find(doc_id):
-            block, start, n = found
-            for x in payload.filter((F.col("shard") == r["shard"]) & (F.col("block") == block)).collect():
-                ids, lengths = np.frombuffer(x["ids"], "<i8"), np.frombuffer(x["lengths"], "<i8")
-                place = int(np.searchsorted(np.cumsum(lengths) - lengths, start))
-                if ids[place] == doc_id:
-                    return np.frombuffer(x["data"], f"<u{x['width']}")[start : start + n].tolist()
-    return None
+    before = {part: start for (part, _), start in zip(totals, sums[:-1], strict=True)}
+    return map_arrow(shards, lambda b: digest_batches(b, before), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def lookup(spark: SparkSession, path: str, keys: list[int]) -> DataFrame:
+    """(doc_id, start, ids) of the documents of some keys (sent with the tasks; give at most some 100,000). start: place in its part.
+
+    Shards are pruned by low and high in the scan: up to 64 keys by each one's place, more by their range.
+    """
+    wanted = np.unique(np.array(keys, dtype=np.int64))
+    if not len(wanted):
+        return spark.createDataFrame([], "doc_id long, start long, ids array<int>")
+    spans = [(k, k) for k in wanted.tolist()] if len(wanted) <= 64 else [(int(wanted[0]), int(wanted[-1]))]
+    holds = reduce(lambda x, y: x | y, [(F.col("low") <= b) & (F.col("high") >= a) for a, b in spans])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, shard, data in shards_of(batch):
+                a, b = np.searchsorted(wanted, [row["low"], row["high"] + 1])
+                ids, at, n = shard.documents(wanted[a:b])
+                lists = pa.array([data[s : s + k].astype(np.int32) for s, k in zip(at.tolist(), n.tolist(), strict=True)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at + row["first"], pa.int64()), lists], names=["doc_id", "start", "ids"])
+
+    return map_arrow(read_shards(spark, path).filter(holds), found, "doc_id long, start long, ids array<int>")
 
 
 def op9_token_store(spark, sf_dir):
