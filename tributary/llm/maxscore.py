@@ -1,12 +1,17 @@
 """Exact top-k inner products by MaxScore over sharded postings.
 
-A vector's components become integers, floor(1024 x). For a query, a term is a dimension with a non-zero weight; a
-candidate's impact on it is weight * (component - floor of the dimension in the shard, or its ceiling under a negative
-weight), which is 0 or more and at most the term's bound in the shard. The query's score is that sum plus a constant of
-the shard. Candidates are dealt into shards of about 2,048. In a shard, terms are ordered by bound; those whose bounds together can't
-lift a candidate over the k-th best score so far are non-essential. Essential terms' postings are traversed (for all
-candidates, since nearly every component of a dense vector is posted); the non-essential terms probe, largest bound first, only the candidates that
-are still competitive. The shards' lists are merged by (score descending, vec_id ascending), so ties are exact.
+A vector's components become integers, floor(1024 x). A query's terms are its dimensions of non-zero weight, each with a side:
+upper for positive weights, lower for negative ones. Candidates are dealt into shards of about 4,096. A shard has, for each dimension
+and side, a base (the upper or lower quartile of its components) and a posting list: the candidates beyond the base. So a
+term's impact on a candidate, weight * (component - base), is positive only for those posted, and at most its bound. The score is the
+sum of the impacts and of the bases' share, which is the same for all candidates of the shard.
+
+A query comes to a shard with a threshold: the k-th best score of a seed shard, which each query is scored against first, so
+it can only be too low. Terms whose bounds, smallest first, together with the bases' share stay below the threshold are
+non-essential: a candidate posted in none of the others can't compete. The essential terms' postings are traversed; then
+candidates are taken by what they can still reach, best first, and the non-essential terms probe them while any can compete, the
+threshold rising with the k-th best score found. The shards' lists are merged by (score descending, vec_id ascending), so ties
+are exact. On dense vectors most terms are essential; what is saved shows in the number of rows that shards give.
 
 Queries go to every shard in blocks of about 512; each pair of a shard and a block is one row of work. Nothing is
 broadcast or gathered that grows with the input.
@@ -30,31 +35,79 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, stash, table
 
-SHARD, BLOCK = 2048, 512
+SHARD, BLOCK, STEP = 4096, 512, 64
 WIDTHS = (22, 28)  # bits of components: vectors up to the first, up to the second, and beyond
 WHOLE = float(1 << 43)  # doubles from here on are whole after multiplication by 1024
 SCHEMA = "query_id long, vec_id long, score long, beyond binary"
 
 
-def top_of_shard(ids: np.ndarray, shard: np.ndarray, query: np.ndarray, own: int, k: int, floor: np.ndarray, ceiling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, scores) of all candidates that are among the query's best k of the shard or tie with the last. shard: dimensions x candidates."""
-    base = np.where(query >= 0, floor, ceiling)
-    bounds = query * np.where(query >= 0, ceiling - floor, floor - ceiling)
-    order = np.argsort(-bounds, kind="stable")
-    rest = np.concatenate([np.cumsum(bounds[order][::-1])[::-1], np.zeros(1)])  # what the terms from the i-th on can still add
-    live = np.flatnonzero(ids != own)
-    partial = np.zeros(len(live), dtype=shard.dtype)
-    i, terms, step = 0, len(order), max(1, len(order) // 8)
-    while i < terms and len(live):
-        at = order[i : i + step]
-        rows = shard[at] if len(live) == shard.shape[1] else shard[np.ix_(at, live)]
-        partial = partial + (query[at] @ rows - (query[at] * base[at]).sum())
-        i = min(terms, i + step)
-        if len(live) > k:
-            least = np.partition(partial, len(partial) - k)[len(partial) - k]  # the k-th best, which can only grow
-            keep = partial + rest[i] >= least
-            live, partial = live[keep], partial[keep]
-    return live, partial + (query * base).sum()
+class Postings:
+    """A shard's postings. Rows 0 to d - 1 are the upper sides of the dimensions, d to 2 d - 1 the lower ones."""
+
+    def __init__(self, ids: np.ndarray, shard: np.ndarray):
+        d, n = shard.shape
+        self.ids, self.shard = ids, shard
+        ranked = np.sort(shard, axis=1)
+        quarter = n // 4
+        upper, lower = ranked[:, n - 1 - quarter], ranked[:, quarter]
+        self.base = np.concatenate([upper, lower])
+        self.reach = np.concatenate([ranked[:, -1] - upper, lower - ranked[:, 0]])
+        self.posted = [np.flatnonzero(shard[i] > upper[i]) for i in range(d)] + [np.flatnonzero(shard[i] < lower[i]) for i in range(d)]
+
+    def best(self, query: np.ndarray, own: int, k: int, least) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, scores) of all candidates with a score of `least` (None: any) or more that are among the query's best k of the shard or tie with the last."""
+        d, n = self.shard.shape
+        terms = np.flatnonzero(query != 0)
+        side = np.where(query[terms] > 0, terms, terms + d)
+        constant = (query[terms] * self.base[side]).sum()
+        bound = np.abs(query[terms]) * self.reach[side]
+        order = np.argsort(bound, kind="stable")
+        reached = constant + np.cumsum(bound[order])  # what a candidate can score that is posted in the first terms only
+        spare = len(order) if least is None else int(np.searchsorted(reached, least, side="left"))
+        if least is None or constant >= least:  # even a candidate that no list has can compete
+            spare, found = 0, np.arange(n)
+        elif spare == len(order):
+            return np.zeros(0, np.int64), np.zeros(0, self.shard.dtype)
+        else:
+            seen = np.zeros(n, dtype=bool)
+            for t in side[order[spare:]].tolist():
+                seen[self.posted[t]] = True
+            found = np.flatnonzero(seen)
+        found = found[self.ids[found] != own]
+        essential, probes = terms[order[spare:]], terms[order[:spare]][::-1]
+        rest = (reached[spare - 1] if spare else constant) - constant  # what the probes can add at most
+        rows = self.shard[essential] if len(found) == n else self.shard[np.ix_(essential, found)]
+        partial = query[essential] @ rows + (constant - (query[essential] * self.base[side[order[spare:]]]).sum())
+        if least is not None:
+            keep = partial + rest >= least
+            found, partial = found[keep], partial[keep]
+        if len(probes):
+            found, partial = self.probed(query, probes, found, partial, rest, k, least)
+        if len(found) > k:
+            last = np.partition(partial, len(partial) - k)[len(partial) - k]
+            found, partial = found[partial >= last], partial[partial >= last]
+        return found, partial
+
+    def probed(self, query: np.ndarray, probes: np.ndarray, found: np.ndarray, partial: np.ndarray, rest, k: int, least) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates whose score can still be `least` or more, with their scores, taken by what they can reach."""
+        d = len(self.shard)
+        side = np.where(query[probes] > 0, probes, probes + d)
+        bases = (query[probes] * self.base[side]).sum()
+        order = np.argsort(-partial, kind="stable")
+        out_at, out_scores = [], []
+        best = np.zeros(0, partial.dtype)
+        for i in range(0, len(order), STEP):
+            at = order[i : i + STEP]
+            if least is not None and partial[at[0]] + rest < least:
+                break
+            scores = partial[at] + query[probes] @ self.shard[np.ix_(probes, found[at])] - bases
+            keep = scores >= least if least is not None else np.ones(len(at), dtype=bool)
+            out_at.append(found[at[keep]])
+            out_scores.append(scores[keep])
+            best = np.sort(np.concatenate([best, scores[keep]]))[::-1][:k]
+            if len(best) == k and (least is None or best[-1] > least):
+                least = best[-1]
+        return np.concatenate([np.zeros(0, np.int64), *out_at]), np.concatenate([np.zeros(0, partial.dtype), *out_scores])
 
 
 def lists(column: pa.Array) -> list[np.ndarray]:
@@ -89,25 +142,24 @@ def beyond(score: int) -> bytes:
 
 
 def search_batches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(candidate ids, candidate components, query ids, query components, dimensions) to each query's best in the shard."""
+    """(candidate ids, candidate components, query ids, query components, thresholds, dimensions) to each query's best in the shard."""
     for batch in batches:
-        for ids, vectors, asked, queries, d in zip(*(lists(batch.column(i)) for i in range(4)), batch.column(4).to_pylist(), strict=True):
+        for ids, vectors, asked, queries, least, d in zip(*(lists(batch.column(i)) for i in range(4)), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             out: list[list] = [[], [], [], []]
             wanted = by_width(queries.reshape(len(asked), d))
             for widest, of, whole in by_width(vectors.reshape(len(ids), d)):
                 names = ids[of]
                 for width, which, rows in wanted:
-                    most = widest * width * max(d, 1)
+                    most = 4 * widest * width * max(d, 1)  # impacts, bounds and bases
                     exact = np.float64 if most < 2**52 else np.int64 if most < 2**61 else object  # of what the sums hold exactly, the fastest
-                    shard = np.ascontiguousarray(whole.T).astype(exact)
-                    floor, ceiling = shard.min(axis=1), shard.max(axis=1)
-                    for own, query in zip(asked[which].tolist(), rows.astype(exact), strict=True):
-                        at, scores = top_of_shard(names, shard, query, own, k, floor, ceiling)
+                    postings = Postings(names, np.ascontiguousarray(whole.T).astype(exact))
+                    for q, query in zip(which.tolist(), rows.astype(exact), strict=True):
+                        at, scores = postings.best(query, int(asked[q]), k, least[q])
                         found = sorted(zip((-scores).tolist(), names[at].tolist(), strict=True))[:k] if exact is object else None
                         if found is None:
                             best = np.lexsort((names[at], -scores))[:k]
                             found = list(zip((-scores[best].astype(np.int64)).tolist(), names[at[best]].tolist(), strict=True))
-                        out[0] += [own] * len(found)
+                        out[0] += [int(asked[q])] * len(found)
                         out[1] += [x for _, x in found]
                         out[2] += [min(max(-int(x), -(1 << 63)), (1 << 63) - 1) for x, _ in found]
                         out[3] += [beyond(-int(x)) for x, _ in found]
@@ -123,15 +175,27 @@ def integers(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def max_score(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: queries are the rows whose id is divisible by `every`, candidates all other rows."""
-    rows = stash(integers(vectors, id_col, vec_col).withColumn("dims", F.size("v")), "vectors")
-    asked = rows.filter(F.col("vec_id") % every == 0).distinct()
-    n_shards, n_blocks = (max(1, -(-x.count() // size)) for x, size in ((rows, SHARD), (asked, BLOCK)))
-    dealt = lambda x, parts: x.withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)))
-    packed = lambda x, ids, vs: x.groupBy("dims", "part").agg(F.collect_list("vec_id").alias(ids), F.flatten(F.collect_list("v")).alias(vs))
-    shards = packed(dealt(rows, n_shards), "ids", "vectors")
-    blocks = packed(dealt(asked, n_blocks), "asked", "queries").select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))).alias("part"), "asked", "queries")
-    pairs = shards.join(blocks.hint("shuffle_hash"), ["dims", "part"]).select("ids", "vectors", "asked", "queries", "dims")
-    found = map_arrow(pairs, lambda b: search_batches(b, k), SCHEMA)
+    rows = integers(vectors, id_col, vec_col).withColumn("dims", F.size("v"))
+    n_shards = max(1, -(-vectors.count() // SHARD))
+    # a row's shard, by its place in the table too, as an id may have many rows
+    rows = stash(rows.withColumn("part", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_shards))), "vectors")
+    asked = rows.filter(F.col("vec_id") % every == 0).select("dims", "vec_id", "v").distinct()
+    asked = stash(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(max(1, -(-asked.count() // BLOCK))))), "asked")
+    shards = rows.groupBy("dims", "part").agg(F.collect_list("vec_id").alias("ids"), F.flatten(F.collect_list("v")).alias("vectors"))
+
+    def search(queries: DataFrame, n: int) -> DataFrame:
+        """The best of each query (dims, block, vec_id, v, least) in each of the first n shards."""
+        blocks = queries.groupBy("dims", "block").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("q"))
+        blocks = blocks.select("dims", F.col("q.vec_id").alias("asked"), F.flatten("q.v").alias("queries"), F.col("q.least").alias("least"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("part"))
+        pairs = shards.join(blocks.hint("shuffle_hash"), ["dims", "part"]).select("ids", "vectors", "asked", "queries", "least", "dims")
+        return map_arrow(pairs, lambda b: search_batches(b, k), SCHEMA)
+
+    seeds = search(asked.withColumn("least", F.lit(None).cast("long")), 1)
+    # a list of fewer than k sets no threshold, nor does a score below all 64-bit numbers
+    floor = seeds.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n")).filter((F.col("n") >= k) & (F.col("least") > F.lit(-(1 << 63))))
+    floor = stash(floor.select(F.col("query_id").alias("vec_id"), "least"), "thresholds")
+    once = asked.join(asked.groupBy("vec_id").count().filter("count = 1").select("vec_id").join(floor, "vec_id"), "vec_id", "left")
+    found = search(once, n_shards)
     best = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
