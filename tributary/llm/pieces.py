@@ -27,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import map_arrow, table
 
 BLANK = "▁"
 N_BEST, PARTS, SHORT = 3, 450_000, 64
 SCHEMA = "doc_id long, rank int, n_pieces long, score double, ids_crc32 long, round_trip boolean"
+IDS = SCHEMA + ", ids array<int>"
 #: A blank run with what follows it up to the next blank or line feed; or a line feed.
 PART = re.compile(r"\n| *[^ \n]+| +")
 
@@ -239,30 +241,50 @@ def segmenter_of_worker(proto: bytes, n: int) -> Segmenter:
     return kept[name]
 
 
-def segment_batches(batches: Iterator[pa.RecordBatch], proto: bytes, n: int) -> Iterator[pa.RecordBatch]:
+def segment_batches(batches: Iterator[pa.RecordBatch], proto: bytes, n: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     segmenter = segmenter_of_worker(proto, n)
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()]
+    names = [x.split()[0] for x in (IDS if with_ids else SCHEMA).split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
             best = segmenter.segment(text)
             same = segmenter.decode(best[0][1]) == text
-            rows += [(doc_id, k + 1, len(ids), score, zlib.crc32(ids.astype("<u4")), same) for k, (score, ids) in enumerate(best)]
+            rows += [(doc_id, k + 1, len(ids), score, zlib.crc32(ids.astype("<u4")), same, *([ids.astype(np.int32)] if with_ids else [])) for k, (score, ids) in enumerate(best)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=names)
 
 
-def n_best_pieces(docs: DataFrame, model_path: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and segmentation. The driver reads the model and sends it with the tasks."""
+def read_model(model_path: str) -> bytes:
+    """The driver reads the model and sends it with the tasks."""
     with open(model_path, "rb") as f:
-        proto = f.read()
+        return f.read()
+
+
+def n_best_pieces(docs: DataFrame, model_path: str, n: int = N_BEST, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per document and segmentation; ids only if asked for."""
+    proto = read_model(model_path)
     plain = docs.selectExpr(f"cast({id_col} as long) AS doc_id", f"cast({text_col} as string) AS text")
-    return map_arrow(plain, lambda b: segment_batches(b, proto, n), SCHEMA)
+    return map_arrow(plain, lambda b: segment_batches(b, proto, n, with_ids), IDS if with_ids else SCHEMA)
+
+
+def decode_pieces(rows: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
+    """rows with `decoded`, the text of their ids. Null ids, as ids that the model doesn't have, give null; no ids give an empty text."""
+    proto, at = read_model(model_path), rows.columns.index(ids_col)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = segmenter_of_worker(proto, 1)
+        most = len(segmenter.model.bytes_of)
+        for batch in batches:
+            lists = batch.column(at).to_pylist()
+            out = [None if x is None or any(k is None or not 0 <= k < most for k in x) else segmenter.decode(np.array(x, dtype=np.int64)) for x in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
+
+    return map_arrow(rows, decoded, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def op6_sentencepiece_n_best(spark, sf_dir):
     import public_tokenizers
 
-    return n_best_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return n_best_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
