@@ -1,15 +1,17 @@
 """Conflict-constrained best-fit packing of documents into token bins.
 
-A document's length is its number of white-space-separated words and one end mark. Pieces of `capacity` that a document
+A document's length is a column of the caller's, such as its number of tokens; without one, its number of white-space-separated
+words and one end mark. Pieces of `capacity` that a document
 fills by itself become bins of their own; what is left is an item. Items are taken by descending length. Open bins are
 ordered by residual and carry a bitmap of their sources and one of their duplicate clusters; the successor search starts
 at the least residual that holds the item and goes on until a bin has neither the item's source nor its cluster. So no
 bin has two items of a source or of a cluster, and each item goes into the tightest compatible bin of its shard.
 
-Items are dealt at random into shards of about `shard` items, each packed by one task: a hot source or cluster is spread evenly over
-all shards. Text isn't moved; items are four numbers.
+Items are dealt into shards of about `shard` items, each packed by one task, by a hash of the item (and, of equal items, of its
+number among them): a hot source or cluster is spread evenly over all shards, and the bins depend on the items only, not on how files
+are split. Text isn't moved; items are four numbers.
 
-Defined results: a null or empty text has length 1; null sources are no source and conflict with nothing; empty texts
+Defined results: a null or empty text has length 1; a null or negative length counts as none and gives no row; null sources are no source and conflict with nothing; empty texts
 are no duplicates of each other; rows repeated under one id are items each, of one cluster; an empty table gives an
 empty result; further columns are ignored.
 """
@@ -126,19 +128,22 @@ def pack_shard(key: tuple, found: pa.Table, capacity: int) -> pa.Table:
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array([(shard << 32) + b for b in columns[2]], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())], names=["doc_id", "piece", "bin", "start", "n"])
 
 
-def items_of(docs: DataFrame, cluster=None) -> DataFrame:
-    """doc_id, source, cluster, n. cluster: a column, else that of texts equal but for white space and ASCII case."""
+def items_of(docs: DataFrame, cluster=None, length=None) -> DataFrame:
+    """doc_id, source, cluster, n. cluster, length: columns; else the texts equal but for white space and ASCII case, and words and an end mark."""
     text = text_or_empty()
     bare = F.lower(F.translate(text, " \t\n\x0b\x0c\r", ""))
     same = F.when(bare != "", F.xxhash64(bare)) if cluster is None else cluster
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.alias("cluster"), (F.regexp_count(text, F.lit(r"\S+")) + 1).cast("long").alias("n"))
+    n = F.regexp_count(text, F.lit(r"\S+")) + 1 if length is None else F.greatest(F.coalesce(length, F.lit(0)), F.lit(0))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), same.cast("long").alias("cluster"), n.cast("long").alias("n"))
 
 
-def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster=None) -> DataFrame:
-    """One row per piece of a document: doc_id, piece, bin, start, n."""
-    items = stash(items_of(docs, cluster), "items")
-    shards = max(1, -(-items.count() // shard))
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
+def best_fit(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster=None, length=None) -> DataFrame:
+    """One row per piece of a document: doc_id, piece, bin, start, n. cluster (of a bounded integer type) and length may be columns of docs."""
+    item = ["doc_id", "source", "cluster", "n"]
+    counted = stash(items_of(docs, cluster, length).groupBy(*item).agg(F.count(F.lit(1)).alias("copies")), "items")
+    shards = max(1, -(-(counted.agg(F.sum("copies")).first()[0] or 0) // shard))
+    items = counted.select(*item, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64(*item, "copy"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(lambda key, found: pack_shard(key, found, capacity), SCHEMA)
 
 
