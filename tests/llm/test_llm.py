@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.llm import components, exact_dedup, language_id, license_scan, maxscore, minhash_dedup, packing, pieces, token_store, toxicity, url_filter
+from tributary.llm import common, components, exact_dedup, language_id, license_scan, maxscore, minhash_dedup, packing, pieces, token_store, toxicity, url_filter
 from tributary.llm.registry import QUERIES, SQL
 
 P = pytest.importorskip("public_tokenizers")
@@ -89,10 +89,70 @@ def test_url_templates(spark):
     urls = [f"http://h.org/a/bad{k}x" for k in range(20)] + [f"http://h.org/b/{k}" for k in range(20)] + ["http://h.org/a/b-ad1", "http://h.org/c/1"]
     got = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()
     by = {r["page_id"]: r for r in got}
-    assert by[0]["template"] == "/a/bad#x/" and by[0]["purity"] > 0.9 and by[20]["template"] == "/b/#/" and by[20]["purity"] < 0.2
+    assert by[0]["template"] == "/a/bad#x" and by[0]["purity"] > 0.9 and by[20]["template"] == "/b/#" and by[20]["purity"] < 0.2
     assert by[41]["verdict"] == "allow"
 
 
+def templates_brute(pages, rules):
+    """Verdicts of (host, path) by plain recursion over the tree."""
+    ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    rule = lambda h, p: next((v for rh, rp, v in ordered if (h == rh or h.endswith("." + rh)) and p.startswith(rp)), None)
+    out = {}
+
+    def walk(host, prefix, group):  # group: (rest, path, verdict or None) of each page
+        for _, path, _ in (x for x in group if not x[0]):
+            out[host, path] = prefix
+        children = {}
+        for rest, path, v in group:
+            if rest:
+                children.setdefault(rest[0], []).append((rest[1:], path, v))
+        pages_, shapes = sum(map(len, children.values())), {re.sub("[0-9]+", "#", c) for c in children}
+        labels = {c: [v == "block" for _, _, v in g if v] for c, g in children.items()}
+        every = [x for g in labels.values() for x in g]
+        made = {}
+        for c, g in children.items():
+            mine, rest = labels[c], len(every) - len(labels[c])
+            name = c
+            if len(children) >= 3 and len(children) * 2 > pages_:
+                name = re.sub("[0-9]+", "#", c) if len(shapes) * 2 <= len(children) else "*"
+            elif len(mine) >= 5 and rest >= 5:
+                share = sum(every) / len(every)
+                if abs(sum(mine) / len(mine) - (sum(every) - sum(mine)) / rest) <= 1.96 * math.sqrt(share * (1 - share) * (1 / len(mine) + 1 / rest)):
+                    name = "*"
+            made.setdefault(name, []).extend(g)
+        for name, g in made.items():
+            walk(host, f"{prefix}/{name}", g)
+
+    hosts = {}
+    for h, p in pages:
+        hosts.setdefault(h, []).append((p.split("/")[1:], p, rule(h, p)))
+    for h, g in hosts.items():
+        walk(h, "", g)
+    known = [v == "block" for g in hosts.values() for _, _, v in g if v]
+    prior = sum(known) / len(known) if known else 0.0
+    of = {}
+    for h, g in hosts.items():
+        for _, p, v in g:
+            of.setdefault((h, out[h, p]), []).append(v)
+    purity = {t: (sum(v == "block" for v in vs) + 2 * prior) / (sum(v is not None for v in vs) + 2) for t, vs in of.items()}
+    return {(h, p): (out[h, p], rule(h, p) or ("block" if purity[h, out[h, p]] >= 0.8 else "allow")) for h, p in pages}
+
+
+def test_url_deep_paths_brute(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "join_counted", lambda rows, groups, keys, size, total: common.join_counted(rows, groups, keys, size, 0))
+    monkeypatch.setattr(common, "HOT", 3)  # nearly every key is split
+    rules = [("h.org", "/a/bad", "block"), ("h.org", "/b", "allow"), ("g.org", "/x/y/z/p1", "block"), ("g.org", "/x/y/z/p2", "allow")]
+    r = random.Random(5)
+    words = ["a", "b", "bad1", "bad2", "x", "y", "", "*", "long" * 20, "p1", "p2"]
+    pages = [("h.org", "/" + "/".join(r.choice(words) for _ in range(r.randint(0, 7)))) for _ in range(150)]
+    pages += [("g.org", f"/x/y/z/p{k % 3}/{k}/deep/{'same/' * 40}{k % 2}") for k in range(60)] + [("g.org", ""), ("g.org", "/"), ("g.org", "/x"), ("h.org", "/a/" + "s" * 5000)]
+    pages += r.choices(pages, k=100)
+    df = spark.createDataFrame([(k, f"http://{h}{p}") for k, (h, p) in enumerate(pages)], "page_id long, url string")
+    want = templates_brute(pages, rules)
+    for x in url_filter.url_filter(df, rules).collect():
+        assert (x["template"], x["verdict"]) == want[x["host"], x["path"]]
+
+
 # --- 2 exact dedup ----------------------------------------------------------------------------------------------------
 
 
@@ -114,6 +174,19 @@ def test_exact_brute(spark, odd, documents):
     assert sum(r["kept"] for r in got) == exact_dedup.drop_copies(documents).count()
 
 
+def test_exact_drop(spark, monkeypatch):
+    # the row stays that is marked kept, by row and not by id; repeated rows leave one
+    rows = [(1, "ab"), (1, "a  b"), (2, "ab"), (3, "c d"), (3, "c d"), (3, "cd"), (3, "other"), (None, "x"), (None, "x"), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit("clash"))
+    for bound in (500_000, 1):
+        got = exact_dedup.drop_copies(docs, bound=bound)
+        assert got.columns == docs.columns
+        assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(repr, [(1, "a  b"), (3, "c d"), (3, "other"), (None, "x"), (4, "")]))
+    monkeypatch.setattr(common, "HOT", 1)  # every group with copies is hot
+    same = exact_dedup.exact_dedup(docs).collect()
+    assert sorted(r["group_size"] for r in same) == [1, 2, 2, 2, 2, 3, 3, 3, 3, 3, 3] and sum(r["kept"] for r in same) == 5
+
+
 def test_chunks_and_collisions(spark, documents):
     whole = documents.select(exact_dedup.normalised(F.col("text")).alias("norm"))
     assert whole.filter(F.array_join(exact_dedup.chunks(F.col("norm")), "") != F.col("norm")).count() == 0
@@ -171,6 +244,11 @@ def test_packing_odd(spark, odd):
         assert 0 < r["n"] <= 64 and r["start"] + r["n"] <= 64
     assert total[1] == 22 and total[3] == 1 and total[8] == 40_001 and len(want) == len(ODD) - 1
     assert packing.best_fit(odd.filter("false")).count() == 0
+    # the bins depend on the items only; lengths may be given
+    again = packing.best_fit(odd.repartition(7), capacity=64, shard=4).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    given = packing.best_fit(odd, length=F.when(F.col("doc_id") == 4, 5).when(F.col("doc_id") == 5, -1)).collect()
+    assert [(r["doc_id"], r["n"]) for r in given] == [(4, 5)]
 
 
 # --- 4 licence scan ---------------------------------------------------------------------------------------------------
@@ -198,8 +276,9 @@ def test_license_at_the_border_of_texts():
     # a text's last letters and the next one's first make no anchor of their own
     texts = ["words", "Apache License 2.0", "the last of it has no n", "c MIT License", "licensed under cc by s", "a"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
-    whole = next(license_scan.scan_batches(iter([batch]))).to_pylist()
-    alone = [next(license_scan.scan_batches(iter([batch.slice(k, 1)]))).to_pylist()[0] for k in range(len(texts))]
+    index = license_scan.Index()
+    whole = next(license_scan.scan_batches(iter([batch]), index)).to_pylist()
+    alone = [next(license_scan.scan_batches(iter([batch.slice(k, 1)]), index)).to_pylist()[0] for k in range(len(texts))]
     assert whole == alone
     assert [(x["n_base"], x["base_labels"], x["score"]) for x in whole] == [(0, "", 0.0), (1, "apache", 1.0), (0, "", 0.0), (1, "mit", 1.0), (0, "", 0.0), (0, "", 0.0)]
 
@@ -212,6 +291,39 @@ def test_license_templates():
     assert index.scan("permission is hereby granted to no one".split())[1].get("mit", 0) < 0.6
 
 
+def test_license_frequencies_and_labels_brute(spark, documents):
+    # document frequencies by plain counting; labels and scores by trying each template at each place
+    r = random.Random(3)
+    rows = []
+    for k in range(40):
+        label, text, _ = r.choice(license_scan.TEMPLATES)
+        words = text.split()
+        for _ in range(r.choice([0, 0, 3, len(words) // 2])):
+            words[r.randrange(len(words))] = r.choice(["x", "the", "license"])
+        a = r.choice([0, 0, len(words) // 3])
+        rows.append((1000 + k, " ".join(["The", "start", *words[a:], "end."]), "en", "s", 1))
+    docs = documents.union(spark.createDataFrame(rows, DOCS))
+    texts = {x["doc_id"]: WORD.findall((x["text"] or "").translate(LOW)) for x in docs.collect()}
+    words = license_scan.vocabulary()
+    df, n = license_scan.document_frequencies(docs, words)
+    assert n == len(texts) and df == {w: sum(w in t for t in map(set, texts.values())) for w in words}
+    index = license_scan.Index(df=df, n=n)
+    got = {x["doc_id"]: x for x in license_scan.license_scan(docs).collect()}
+    for i, t in texts.items():
+        best = {}
+        for label, text, key in license_scan.TEMPLATES:
+            w, key = text.split(), key.split()
+            rare = sorted(set(w), key=lambda x: (-index.idf[x], -len(x), x))[: license_scan.RARE]
+            at = next(k for k in range(len(w)) if w[k : k + len(key)] == key)
+            for origin in range(-len(w), len(t)) if set(key) <= set(t) else ():
+                stands = [0 <= origin + k < len(t) and t[origin + k] == x for k, x in enumerate(w)]
+                votes = sum(ok for ok, x in zip(stands, w, strict=True) if x in rare)
+                if all(stands[at : at + len(key)]) and votes * 2 >= min(license_scan.RARE, len(set(w))):
+                    best[label] = max(best.get(label, 0.0), sum(stands) / len(w))
+        base = set(filter(None, got[i]["base_labels"].split(",")))
+        assert got[i]["labels"] == ",".join(sorted(base | best.keys())) and got[i]["score"] == pytest.approx(1.0 if base else max(best.values(), default=0.0)), i
+
+
 # --- 5 toxicity -------------------------------------------------------------------------------------------------------
 
 
@@ -235,6 +347,61 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.toxicity(odd.filter("false"), labels).count() == 0
 
 
+def plain_ftrl(rows, alpha, beta, l1, epochs, positive):
+    """FTRL-proximal, one coordinate at a time; the intercept is the coordinate None, without L1."""
+    z, n = {}, {}
+
+    def weight(k):
+        if k is not None and abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        shrunk = z.get(k, 0.0) - (0.0 if k is None else math.copysign(l1, z[k]))
+        return -shrunk * alpha / (beta + math.sqrt(n.get(k, 0.0)))
+
+    order = np.random.default_rng(7)
+    for _ in range(epochs):
+        for j in order.permutation(len(rows)):
+            at, y = rows[j]
+            w = {k: weight(k) for k in [*at, None]}
+            p = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values())))))
+            g = (p - y) * (positive if y else 1.0)
+            for k in w:
+                old = n.get(k, 0.0)
+                n[k] = old + g * g
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(n[k]) - math.sqrt(old)) / alpha * w[k]
+    return {k: weight(k) for k in z}
+
+
+def plain_features(text):
+    data, offsets = toxicity.texts(pa.array([text]))
+    h = [int(x) for x in toxicity.Words(data, offsets).hashes]
+    full = 1 << 64
+    mixed = lambda x: int(toxicity.mix(np.array([x % full], np.uint64))[0])
+    out = set(h)
+    for gap, salt in ((1, 0x51ED270B), (2, 0xA5CB9243)):
+        out |= {mixed(a * 3 + b + salt) for a, b in zip(h, h[gap:])}  # noqa: B905
+    return {x >> (64 - toxicity.BITS) for x in out}
+
+
+def test_toxicity_brute(spark, documents):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "toxic")
+    text_of = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = [(x["doc_id"], x["toxic"]) for x in labels.collect() if zlib.crc32(str(x["doc_id"]).encode()) % 5 and x["doc_id"] in text_of]
+    place = {r["doc_id"]: r["p"] for r in documents.select("doc_id", F.xxhash64("doc_id", "text").alias("p")).collect()}
+    rows.sort(key=lambda x: (place[x[0]], x[1]))
+    weights = plain_ftrl([(plain_features(text_of[i]), y) for i, y in rows], 2.0, 1.0, 5.0, 4, 2.0)
+    for r in toxicity.toxicity(documents, labels).collect():
+        s = sum(weights.get(k, 0.0) for k in plain_features(text_of[r["doc_id"]])) + weights[None]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-s)), abs=1e-6)
+
+
+def test_toxicity_bounds(spark, documents):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 60)], "doc_id long, toxic int")
+    known = toxicity.train(documents, labels, rows=20)
+    assert (known == toxicity.train(documents, labels, rows=20)).all() and (known != toxicity.train(documents, labels, rows=40)).any()
+    small = toxicity.train(documents, labels, size=4)  # no text is that short
+    assert np.count_nonzero(small) == 1
+
+
 # --- 6 SentencePiece --------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +438,12 @@ def test_pieces_round_trip(spark, segmenter, odd, documents):
     got = pieces.n_best_pieces(odd, P.path("piece_bpe_32k.model"))
     best = {r["doc_id"]: r for r in got.filter("rank = 1").collect()}
     assert best[3]["n_pieces"] == 0 and best[4]["round_trip"] and not best[6]["round_trip"] and best[7]["round_trip"]
+    text_of = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
+    model = P.path("piece_bpe_32k.model")
+    decoded = pieces.decode_pieces(pieces.n_best_pieces(documents, model).withColumn("extra", F.lit(1)), model).collect()
+    assert all(r["decoded"] == text_of[r["doc_id"]] and r["n_pieces"] == len(r["ids"]) for r in decoded) and len(decoded) >= len(text_of)
+    ids = spark.createDataFrame([(1, [10**6]), (2, None), (3, []), (4, [-1]), (5, [None])], "doc_id long, ids array<int>")
+    assert [r["decoded"] for r in pieces.decode_pieces(ids, model).orderBy("doc_id").collect()] == [None, None, "", None, None]
     assert got.filter("rank = 1").count() == len(ODD) and pieces.n_best_pieces(odd.filter("false"), P.path("piece_bpe_32k.model")).count() == 0
 
 
@@ -354,7 +527,7 @@ def test_near_sketches_meet_at_every_length(n, shared, m):
     for _ in range(pairs):
         words = [f"w{r.randrange(10**9)}" for _ in range(shared + 4)]
         rows += [" ".join(words + [f"x{r.randrange(10**9)}" for _ in range(x - shared)]) for x in (n, m)]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["doc_id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(range(len(rows)), pa.int64()), pa.array(rows)], names=["doc_id", "mark", "text"])
     found = next(minhash_dedup.sketch_batches(iter([batch])))
     assert found.column("n").to_pylist() == [n, m] * pairs
     bands = [set(x) for x in found.column("bands").to_pylist()]
@@ -370,6 +543,18 @@ def test_near_odd(spark, odd):
     assert minhash_dedup.near_classes(odd.filter("false")).count() == 0
 
 
+def test_near_rows_of_one_id(spark, monkeypatch):
+    # rows are judged by their own texts: B's only text stays, C's copies under one id stay together
+    monkeypatch.setattr(common, "HOT", 1)
+    text = lambda seed: " ".join(f"w{random.Random(seed).randrange(10**6) + k}" for k in range(30))
+    rows = [(3, text(1)), (5, text(1)), (5, text(2)), (7, text(3)), (7, text(3)), (8, text(3) + " more"), (9, text(4)), (3, text(4))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["class_id"], r["kept"]) for r in minhash_dedup.near_classes(docs).collect())
+    assert got == [(3, 3, True), (3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, True), (8, 7, False), (9, 3, False)]
+    left = minhash_dedup.drop_near_copies(docs.withColumn("row", F.lit("clash")))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(3, text(1)), (3, text(4)), (5, text(2)), (7, text(3)), (7, text(3))])
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
@@ -425,6 +610,40 @@ def test_max_score_wide(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_max_score_ties_and_repeats(spark, monkeypatch):
+    # many equal scores at rank k, in different shards; ids with several rows; thresholds from a seed shard
+    monkeypatch.setattr(maxscore, "SHARD", 50)
+    monkeypatch.setattr(maxscore, "STEP", 2)
+    r = random.Random(21)
+    rows = [(k, [float(r.choice([0, 1, 2])) for _ in range(5)]) for k in range(400)]
+    rows += [(20, rows[20][1]), (20, [2.0] * 5), (7, [2.0] * 5), (7, [2.0] * 5), (0, [0.0] * 5)]
+    got = sorted(tuple(x) for x in maxscore.max_score(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=10, k=6).collect())
+    want = []
+    for q in range(0, 400, 10):
+        asked = {tuple(v) for i, v in rows if i == q}
+        best = sorted((-sum(int(1024 * a) * int(1024 * b) for a, b in zip(x, v, strict=True)), i) for x in asked for i, v in rows if i != q)[:6]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_max_score_prunes():
+    # a few strong dimensions: with a threshold the others are non-essential, and only posted candidates are scored
+    r = np.random.default_rng(3)
+    shard = r.integers(-5, 6, (16, 1000)).astype(np.float64)
+    shard[:2] = np.where(r.random((2, 1000)) < 0.1, r.integers(500, 1000, (2, 1000)), 0)
+    query = np.ones(16)
+    every = query @ shard
+    least = np.sort(every)[-10]
+    postings = maxscore.Postings(np.arange(1000), shard)
+    asked = []
+    probed = postings.probed
+    postings.probed = lambda *x: asked.append((len(x[1]), len(x[2]))) or probed(*x)
+    at, scores = postings.best(query, -1, 10, int(least))
+    assert sorted(at.tolist()) == np.flatnonzero(every >= least).tolist() and (scores == every[at]).all()
+    assert asked and asked[0][0] >= 10 and asked[0][1] < 100
+    assert len(postings.best(query, -1, 10, int(every.max()) + 100)[0]) == 0
+
+
 # --- 9 token store ----------------------------------------------------------------------------------------------------
 
 
@@ -444,18 +663,39 @@ def test_token_files(spark, odd, documents, tmp_path):
     for name, docs in (("odd", odd), ("all", documents), ("none", odd.filter("false"))):
         path = f"file://{tmp_path}/{name}"
         token_store.write_tokens(docs, path, P.path("byte_bpe_50k.json"), shards=3)
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text")).collect()
+        rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[2]))
         want, start = [], 0
-        for i, t in rows:
+        for i, t, _ in rows:
             ids = [*lib.encode(t, add_special_tokens=False).ids, 2]
             want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
             start += len(ids)
         got = sorted((tuple(r) for r in token_store.read_digests(spark, path).collect()), key=lambda x: x[1])
         assert got == want
-    path = f"file://{tmp_path}/all"
-    for r in documents.select("doc_id", "text").limit(3).collect():
-        assert token_store.lookup(spark, path, r["doc_id"]) == [*lib.encode(r["text"], add_special_tokens=False).ids, 2]
-    assert token_store.lookup(spark, path, 10**12) is None
+    ids_of = lambda t: [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+    some = [(r["doc_id"], ids_of(r["text"])) for r in documents.select("doc_id", "text").limit(90).collect()]
+    for part in (some[:3], some):
+        found = token_store.lookup(spark, f"file://{tmp_path}/all", [i for i, _ in part] + [10**12, -5])
+        assert sorted((r["doc_id"], r["ids"]) for r in found.collect()) == sorted(part)
+    found = token_store.lookup(spark, f"file://{tmp_path}/odd", [1, 2])
+    assert sorted((r["doc_id"], r["ids"]) for r in found.collect()) == sorted([(1, ids_of(ODD[0][1]))] * 2 + [(2, [2])])
+    assert token_store.lookup(spark, f"file://{tmp_path}/odd", []).count() == 0
+
+
+@pytest.mark.parametrize("name", ["offsets", "seeds", "prints"])
+def test_token_index_is_what_is_read_by(spark, documents, tmp_path, name):
+    token_store.write_tokens(documents, f"file://{tmp_path}/a", P.path("byte_bpe_50k.json"), shards=1)
+    good = sorted(map(tuple, token_store.read_digests(spark, f"file://{tmp_path}/a").collect()))
+    # one number of the index is off by one
+    bent = token_store.read_shards(spark, f"file://{tmp_path}/a").withColumn(name, F.concat(F.unhex(F.lit("01")), F.substring(name, 2, 1 << 30)))
+    bent = bent.withColumn(name, F.when(F.lit(name == "offsets"), F.concat(F.unhex(F.lit("0700000000000000")), F.substring(name, 9, 1 << 30))).otherwise(F.col(name)))
+    bent.write.parquet(f"file://{tmp_path}/b")
+    try:
+        bad = sorted(map(tuple, token_store.read_digests(spark, f"file://{tmp_path}/b").collect()))
+    except Exception as e:
+        assert "doesn't lead to all of its documents" in str(e)
+    else:
+        assert bad != good
 
 
 def test_pieces_of_texts_are_whole_texts(documents):
@@ -492,6 +732,52 @@ def test_language_fusion(spark):
     assert got[904]["declared"] == "other" and not got[904]["accepted"] and all(got[k]["lang"] == rows[k][2] for k in range(80))
 
 
+def test_language_posterior_brute(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 2)
+    rng = random.Random(11)
+    word = {"en": ["the", "and", "with", "so"], "de": ["und", "der", "nicht", "so"], "fr": ["le", "et", "avec", "so"]}
+    langs = sorted(word)
+    train = [(k, " ".join(rng.choices(word[x], k=20)), x, "h", 1) for k, x in enumerate(langs * 10)]
+    model = language_id.train(spark.createDataFrame(train, DOCS))
+    rows = [(k, rng.choice([None, "en", "DE-at", "xx", " "]), rng.choice(["a", "b", None]), rng.choice(["net", None]), rng.choice([None, "", "?", " ".join(rng.choices(word[rng.choice(langs)], k=rng.randint(1, 6)))])) for k in range(80)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, declared string, host string, suffix string, text string")
+    got = sorted(((r["doc_id"], r["lang"], round(r["posterior"], 7), r["accepted"]) for r in language_id.fuse(df, model, ["doc_id"]).collect()), key=repr)
+
+    def evidence(text):
+        data, offsets = language_id.texts(pa.array([text or ""]))
+        grams, _ = language_id.trigrams(data, offsets)
+        ll = [sum(model[1][k][g] for g in grams.tolist()) * min(1.0, 100 / max(len(grams), 1)) for k in range(3)]
+        return len(grams), [round(x - max(ll), 9) for x in ll]
+
+    seen = []
+    for i, d, h, s, t in rows:
+        n, ll = evidence(t)
+        d = None if d is None or not d.strip() else {"en": "en", "DE-at": "de"}.get(d, "other")
+        seen.append((i, d, h or "", s or "", n, ll, ll.index(max(ll)) if n else -1))
+    want = []
+    for j, (i, d, h, s, n, ll, guess) in enumerate(seen):
+        others = [x for k, x in enumerate(seen) if k != j and x[6] >= 0]
+        count = lambda k, place: sum(x[6] == k and place(x) for x in others)  # noqa: E731, B023
+        score = []
+        for k in range(3):
+            prior = (count(k, lambda x: True) + 1) / (len(others) + 3)
+            prior = (count(k, lambda x: x[3] == s) + 8 * prior) / (sum(x[3] == s for x in others) + 8)  # noqa: B023
+            prior = (count(k, lambda x: x[3] == s and x[2] == h) + 8 * prior) / (sum(x[3] == s and x[2] == h for x in others) + 8)  # noqa: B023
+            speak = [x for x in seen if x[6] == k and x[1] is not None]
+            said = 0.0 if d is None else math.log((sum(x[1] == d for x in speak) + 1) / (len(speak) + 4))
+            score.append(math.log(prior) + ll[k] + said)
+        p = [math.exp(x) for x in score]
+        best = max(range(3), key=lambda k: (score[k], langs[k]))
+        want.append((i, langs[best], round(p[best] / sum(p), 7), n > 0 and p[best] / sum(p) >= 0.5))
+    assert got == sorted(want, key=repr)
+
+
+def test_language_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "words", "en", "a", 1), (1, "--", "en", "a", 1), (None, "??", "en", "a", 1), (None, "words", "en", "a", 1)], DOCS)
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in language_id.keep_identified(docs).collect()))) == sorted(map(repr, [(1, "words"), (None, "words")]))
+
+
 def test_language_odd(spark, odd):
     got = language_id.fuse(language_id.document_rows(odd), language_id.train(odd), ["doc_id"])
     by = {r["doc_id"]: r["accepted"] for r in got.collect()}
