@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), with docs as its predecessor left them, and returns the documents it keeps with
 all their columns; the last returns the packing. Stages may be run one by one with their results written between them;
 run() chains them over the documents table and writes each result to the shared folder.
+
+Every stage judges rows, not ids: of rows that share an id each goes or stays for its own text. Empty and null texts are
+rejected by the first stage, null ids are kept or dropped like others (the near-duplicate stage keeps them), repeated rows leave one
+in the exact stage, an empty table gives an empty result, and further columns are carried along.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tributary.llm import exact_dedup, language_id, minhash_dedup, packing, toxicity
-from tributary.llm.common import stash, table, without_ids
+from tributary.llm.common import stash, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +24,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def detoxify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic (operator 5); its model is learned from the labels of the documents that are left."""
-    judged = toxicity.toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return without_ids(docs, judged.filter("predicted = 1 AND doc_id IS NOT NULL").select("doc_id"))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
