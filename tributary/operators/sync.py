@@ -12,7 +12,7 @@ from .runs import gaps, intersect_runs, lookup
 
 def ops_since(ops: DataFrame, runs: DataFrame, agents: DataFrame, known: DataFrame) -> DataFrame:
     """known (doc, q, a, b): a what the peer has, b the tip. The operations in b's history but not a's, by remote id."""
-    fresh = differences(runs, known).filter("flag = 'b'").select("doc", "start", "end")
+    fresh = differences(runs, known, ("b",)).select("doc", "start", "end")
     return to_remote(lookup(ops, fresh, ["doc"]).select(*ops.columns), agents)
 
 

@@ -207,6 +207,12 @@ def history_size(spark, sf_dir):
     return spans.groupBy("doc", "q").agg(F.sum(F.col("end") - F.col("start")).alias("n"))
 
 
+def _half(log: Log) -> DataFrame:
+    """(doc, q, version): the version that the first half of the rounds leaves."""
+    half = log.spans.join(log.spans.groupBy("doc").agg(F.expr("max(round) div 2").alias("most")), "doc").filter("round = most")
+    return half.groupBy("doc").agg(F.array_sort(F.collect_list(F.col("end") - 1)).alias("version")).withColumn("q", F.lit(0).cast("long"))
+
+
 def _sided(log: Log) -> DataFrame:
     return log.asked.filter("b[0] IS NOT NULL")
 
@@ -227,7 +233,7 @@ def _diff(flag: str, where: str):
 
     def found(spark, sf_dir):
         log = Log(spark, sf_dir)
-        return runs.explode_runs(graph.differences(log.runs, _sided(log)).filter(F.col("flag") == flag)).select("doc", "q", "lv")
+        return runs.explode_runs(graph.differences(log.runs, _sided(log), (flag,))).select("doc", "q", "lv")
 
     return sql, found
 
@@ -320,6 +326,47 @@ def conflict_spans(spark, sf_dir):
     return runs.explode_runs(graph.conflicts(log.runs, _sided(log)).filter("flag IS NOT NULL")).select("doc", "q", "lv", "flag")
 
 
+@query("conflict_common_version", EV + PAIRED + """, x AS (SELECT b.*, o.round FROM met b JOIN good USING (doc, q) JOIN ops o USING (doc, lv)),
+cut AS (SELECT doc, q, oa.round AS ra, ob.round AS rb, oa.agent = ob.agent AS same FROM sides s JOIN sides t USING (doc, q) JOIN good USING (doc, q) JOIN ops oa ON oa.doc = s.doc AND oa.lv = s.lv JOIN ops ob ON ob.doc = t.doc AND ob.lv = t.lv WHERE s.side = 'a' AND t.side = 'b'),
+k AS (SELECT doc, q, lv FROM x JOIN cut USING (doc, q) WHERE in_a AND in_b AND NOT (NOT same AND ra <> rb AND x.round = least(ra, rb) AND (SELECT count(*) FROM spans z WHERE z.doc = x.doc AND z.round = x.round) > 1))
+SELECT doc, q, coalesce((SELECT string_agg(CAST(k.lv AS VARCHAR), ',' ORDER BY k.lv) FROM k WHERE k.doc = g.doc AND k.q = g.q AND NOT EXISTS (SELECT 1 FROM k c JOIN edges e USING (doc, lv) WHERE c.doc = k.doc AND c.q = k.q AND e.parent = k.lv)), '') AS common FROM good g""")
+def conflict_common_version(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    return graph.conflicts(log.runs, _sided(log)).select("doc", "q", "common").distinct()
+
+
+@query("dominators_labelled", EV + SETS + " SELECT DISTINCT m.doc, m.q, m.lv, d.lv IS NOT NULL AS dominates FROM members m LEFT JOIN dom d USING (doc, q, lv)")
+def dominators_labelled(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    return graph.labelled_dominators(log.runs, log.sets)
+
+
+@query("shadow_of", EV + ", w AS (SELECT doc, round, count(*) AS width, min(s) AS first FROM spans GROUP BY ALL) SELECT o.doc, o.lv, CASE WHEN r.round = 0 AND r.s > 0 THEN r.s WHEN r.s = w.first THEN 0 ELSE r.s END AS shadow FROM ops o JOIN spans r USING (doc, round, agent) JOIN w USING (doc, round)")
+def shadow_of(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    return graph.shadow_of(log.ops.select("doc", "lv"), log.runs).select("doc", "lv", "shadow")
+
+
+@query("summary_common_version", EV + THEIRS + """, known AS (SELECT DISTINCT doc, lv FROM found WHERE lv IS NOT NULL),
+up AS (SELECT k.doc, e.parent AS lv FROM known k JOIN edges e USING (doc, lv) UNION SELECT u.doc, e.parent FROM up u JOIN edges e USING (doc, lv))
+SELECT doc, string_agg(CAST(lv AS VARCHAR), ',' ORDER BY lv) AS version FROM known ANTI JOIN up USING (doc, lv) GROUP BY doc""")
+def summary_common_version(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    return graph.common_versions(log.runs, log.agents, theirs(log)).select("doc", spelled(F.col("version")).alias("version"))
+
+
+@query("exists_at_version", EV + """, cut AS (SELECT doc, max(round) // 2 AS most FROM ops GROUP BY doc), made AS (SELECT doc, key || agent AS name, min(lv) AS lv FROM ops GROUP BY ALL),
+gone AS (SELECT doc, key || agent AS name, max(lv) AS lv FROM ops WHERE event_id % 7 = 0 GROUP BY ALL), seen AS (SELECT doc, lv FROM ops JOIN cut USING (doc) WHERE round <= most)
+SELECT doc, name, lv FROM made SEMI JOIN seen USING (doc, lv) ANTI JOIN (SELECT doc, name FROM gone SEMI JOIN seen USING (doc, lv)) USING (doc, name)""")
+def exists_at_version(spark, sf_dir):
+    """Things, here each agent's keys, that were created and not deleted in the history of half of the rounds."""
+    log = Log(spark, sf_dir)
+    named = log.ops.withColumn("name", F.concat("key", "agent"))
+    created = named.groupBy("doc", "name").agg(F.min("lv").alias("lv"))
+    gone = named.filter("event_id % 7 = 0").groupBy("doc", "name").agg(F.max("lv").alias("lv"))
+    return graph.exists_at(created, gone, graph.closures(log.runs, _half(log)))
+
+
 #: An operation is open from itself to its first child.
 OPEN = """, child AS (SELECT doc, parent AS lv, min(lv) AS child FROM edges WHERE parent IS NOT NULL GROUP BY ALL), n AS (SELECT doc, count(*) AS n FROM ops GROUP BY doc)
 SELECT doc, CAST(sum(coalesce(child, n) - o.lv - 1) AS BIGINT) AS total, count(*) AS ops FROM ops o JOIN n USING (doc) LEFT JOIN child USING (doc, lv) GROUP BY doc"""
@@ -405,9 +452,7 @@ def map_delete(spark, sf_dir):
 @query("map_checkout_at_version", EV + ", cut AS (SELECT doc, max(round) // 2 AS most FROM ops GROUP BY doc)" + HEADS.replace("FROM ops)", "FROM ops JOIN cut USING (doc) WHERE round <= most)", 1) + WON + " SELECT doc, key, lv, value FROM won JOIN heads USING (doc, key, lv)")
 def map_checkout_at_version(spark, sf_dir):
     log = Log(spark, sf_dir)
-    half = log.spans.join(log.spans.groupBy("doc").agg(F.expr("max(round) div 2").alias("most")), "doc").filter("round = most")
-    versions = half.groupBy("doc").agg(F.array_sort(F.collect_list(F.col("end") - 1)).alias("version")).withColumn("q", F.lit(0).cast("long"))
-    then = registers.written_within(log.writes, graph.closures(log.runs, versions))
+    then = registers.written_within(log.writes, graph.closures(log.runs, _half(log)))
     return registers.resolved(registers.heads(then, log.runs)).select("doc", "key", "lv", "value")
 
 
