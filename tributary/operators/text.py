@@ -53,6 +53,11 @@ def transformed(runs: DataFrame, text: DataFrame, agents: DataFrame, pairs: Data
     return _ask(runs, text, agents, pairs, answer, "doc long, q long, step long, lv long, n long, kind string, pos long, content string")
 
 
+def merged_branches(runs: DataFrame, text: DataFrame, agents: DataFrame, branches: DataFrame) -> DataFrame:
+    """branches (doc, q, content, a, b), content the text at a, to (doc, q, content, version) after merging b."""
+    return _ask(runs, text, agents, branches, lambda m, q: [(q["q"], *m.merged(q["content"], ints(q["a"]), ints(q["b"])))], "doc long, q long, content string, version array<long>")
+
+
 def conflicting(runs: DataFrame, text: DataFrame, agents: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (doc, q, a, b) to (doc, q, conflicts): whether concurrent inserts meet at one place."""
     return _ask(runs, text, agents, pairs, lambda m, q: [(q["q"], m.conflicts(ints(q["a"]), ints(q["b"])))], "doc long, q long, conflicts boolean")

@@ -106,6 +106,18 @@ def shared_names(ops_: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.select("doc", "lv", "agent", "seq"), spans(named.join(user, ["doc", "lv"]).withColumn("round", F.struct("round", "user"))).withColumn("round", F.col("round.round"))
 
 
+def peer(ops_: DataFrame, parity: int, *order) -> dict[str, DataFrame]:
+    """A peer's log (runs, agents, text, ops): the first half of the rounds and, of the one after, the users of even (0) or odd (1)
+    number, numbered by round and `order`. An operation's edit inserts its key."""
+    half = ops_.groupBy("doc").agg(F.expr("max(round) div 2").alias("half"))
+    mine = F.expr(f"CAST(substr(agent, 2) AS BIGINT) % 2 = {parity}")
+    kept = ops_.join(half, "doc").filter((F.col("round") <= F.col("half")) | ((F.col("round") == F.col("half") + 1) & mine))
+    kept = kept.withColumn("lv", (F.row_number().over(Window.partitionBy("doc").orderBy("round", *order, "lv")) - 1).cast("long"))
+    of_peer = spans(kept)
+    text = kept.select("doc", "lv", F.lit(1).cast("long").alias("n"), F.lit("Ins").alias("kind"), F.col("seq").alias("pos"), F.substring("key", 1, 1).alias("content"), F.lit(True).alias("fwd"))
+    return {"runs": runs(of_peer), "agents": agents(of_peer), "text": text, "ops": kept}
+
+
 #: The same in SQL; to be followed by more expressions or the query.
 EV = f"""
 WITH RECURSIVE ev0 AS (SELECT user_id // {USERS} AS doc, 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS agent, event_id, ts, event_type AS key, value,

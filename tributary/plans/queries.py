@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..model import ROOT, spelled
-from ..operators import graph, ids, registers, runs, sets, stats, sync, text, trees
+from ..operators import graph, ids, merge, registers, runs, sets, stats, sync, text, trees
+from ..sources.cuts import written
 from . import derived
 from .derived import ASKED, EV, table
 
@@ -542,6 +543,78 @@ def trim_straddling(spark, sf_dir):
     return runs.explode_runs(sync.trim_known(theirs(log), known), "seq").select("doc", "agent", "seq").distinct()
 
 
+#: The peers' logs: o numbers ours (even users), t theirs (odd users, in another order); remote names an operation.
+PEERS = EV + """, half AS (SELECT doc, max(round) // 2 AS half FROM ops GROUP BY doc),
+held AS (SELECT ops.*, half, agent || ':' || seq AS remote, CAST(substr(agent, 2) AS BIGINT) % 2 AS odd FROM ops JOIN half USING (doc) WHERE round <= half + 1),
+o AS (SELECT doc, agent, seq, row_number() OVER (PARTITION BY doc ORDER BY round, agent, lv) - 1 AS lv FROM held WHERE round <= half OR odd = 0),
+t AS (SELECT doc, agent, seq, round, half, row_number() OVER (PARTITION BY doc ORDER BY round, agent DESC, lv) - 1 AS lv FROM held WHERE round <= half OR odd = 1),
+n AS (SELECT doc, count(*) AS n FROM o GROUP BY doc),
+both_ AS (SELECT doc, agent, seq, lv FROM o UNION ALL SELECT doc, agent, seq, n + row_number() OVER (PARTITION BY doc ORDER BY t.lv) - 1 FROM t JOIN n USING (doc) WHERE round > half),
+named AS (SELECT h.doc, h.agent, h.seq, coalesce(string_agg(p.remote, ',' ORDER BY p.remote), '') AS parents FROM held h LEFT JOIN edges e ON e.doc = h.doc AND e.lv = h.lv LEFT JOIN held p ON p.doc = h.doc AND p.lv = e.parent GROUP BY ALL)"""
+
+
+def _named_parents(log: dict) -> DataFrame:
+    """(doc, lv, agent, seq, parents): each operation with its parents' names, in order of these."""
+    each = runs.explode_runs(log["runs"]).select("doc", "lv")
+    at = graph.parents_of(each, log["runs"]).select("doc", F.col("lv").alias("of"), F.explode("parents").alias("lv"))
+    name = F.concat("agent", F.lit(":"), F.col("seq").cast("string"))
+    parents = ids.to_remote(at, log["agents"]).groupBy("doc", F.col("of").alias("lv")).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("parents"))
+    return ids.to_remote(each, log["agents"]).join(parents, ["doc", "lv"], "left").withColumn("parents", F.coalesce("parents", F.lit("")))
+
+
+def _two_peers(log: Log) -> tuple[dict, dict]:
+    kept = lambda peer: {name: written(peer[name], name) for name in ("runs", "agents", "text")}
+    return kept(derived.peer(log.ops, 0, F.asc("agent"))), kept(derived.peer(log.ops, 1, F.desc("agent")))
+
+
+@query("merge_logs", PEERS + " SELECT doc, agent, seq, lv, parents FROM both_ JOIN named USING (doc, agent, seq)")
+def merge_logs(spark, sf_dir):
+    """Two peers' logs as one: our numbers, then theirs that are new, with the parents mapped."""
+    ours, them = _two_peers(Log(spark, sf_dir))
+    met = merge.merged_logs(ours, them)
+    return _named_parents({name: written(met[name], name) for name in ("runs", "agents")}).select("doc", "agent", "seq", "lv", "parents")
+
+
+@query("delta_changes", PEERS + " SELECT t.doc, t.agent, t.seq, parents, substr(h.key, 1, 1) AS content, t.seq AS pos FROM t JOIN named USING (doc, agent, seq) JOIN held h USING (doc, agent, seq) WHERE t.round > t.half")
+def delta_changes(spark, sf_dir):
+    """What theirs has and ours lacks, as JSON lines and back: each operation with its parents and its edit."""
+    ours, them = _two_peers(Log(spark, sf_dir))
+    sent = merge.from_lines(written(merge.to_lines(merge.changes_since(them, ids.summary(ours["agents"]))), "delta"))
+    each = sent["graph"].withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    own = F.array(F.struct(F.col("agent").alias("agent"), (F.col("seq") + F.col("k") - 1).alias("seq")))
+    named = F.transform(F.when(F.col("k") == 0, F.col("parents")).otherwise(own), lambda p: F.concat(p["agent"], F.lit(":"), p["seq"].cast("string")))
+    ops = each.select("doc", "agent", (F.col("seq") + F.col("k")).alias("seq"), F.array_join(F.array_sort(named), ",").alias("parents"))
+    return ops.join(sent["text"].select("doc", "agent", "seq", "content", "pos"), ["doc", "agent", "seq"])
+
+
+@query("delta_round_trip", PEERS + " SELECT doc, count(*) AS ops, 0 AS only_ours, 0 AS only_theirs, 0 AS waiting FROM held GROUP BY doc")
+def delta_round_trip(spark, sf_dir):
+    """Both peers send each other what they lack, twice: how many operations ours then has, and how many (names, parents and edits) only one has."""
+    ours, them = _two_peers(Log(spark, sf_dir))
+    kept = lambda x: {name: written(df, name) for name, df in x.items()}
+    to_us, to_them = merge.changes_since(them, ids.summary(ours["agents"])), merge.changes_since(ours, ids.summary(them["agents"]))
+    to_us, to_them = kept(to_us), kept(to_them)
+    a = kept(merge.with_changes(kept(merge.with_changes(ours, to_us)), to_us))
+    b = kept(merge.with_changes(them, to_them))
+    edits = lambda x: _named_parents(x).join(x["text"], ["doc", "lv"]).select("doc", "agent", "seq", "parents", "kind", "pos", "content")
+    met = edits(a).withColumn("side", F.lit(1)).union(edits(b).withColumn("side", F.lit(2))).groupBy("doc", "agent", "seq", "parents", "kind", "pos", "content").agg(F.sum("side").alias("sides"))
+    waiting = merge.unknown_parents(ours, to_us).groupBy("doc").agg(F.count(F.lit(1)).alias("waiting"))
+    found = met.groupBy("doc").agg(F.count_if(F.col("sides").isin(1, 3)).alias("ops"), F.count_if(F.col("sides") == 1).alias("only_ours"), F.count_if(F.col("sides") == 2).alias("only_theirs"))
+    return found.join(waiting, "doc", "left").select("doc", "ops", "only_ours", "only_theirs", F.coalesce("waiting", F.lit(0)).alias("waiting"))
+
+
+@query("graph_push", EV + ", half AS (SELECT doc, max(e) // 2 AS h FROM spans GROUP BY doc) SELECT doc, s AS start, e AS \"end\" FROM spans")
+def graph_push(spark, sf_dir):
+    """Runs pushed in pieces of three operations come together again where they only go on."""
+    log = Log(spark, sf_dir)
+    pieces = runs.take_max(log.runs.withColumn("run", F.col("start")), 3)
+    parents = F.when(F.col("start") == F.col("run"), F.col("parents")).otherwise(F.array(F.col("start") - 1))
+    packed = merge.pack_runs(pieces.select("doc", "start", "end", parents.alias("parents")))
+    # a run whose only parent is the operation before it is one with that run: cut there again
+    again = runs.zip_runs(packed.select("doc", "start", "end"), log.spans.select("doc", "start", "end", "round"), ["doc"])
+    return again.select("doc", "start", "end")
+
+
 # --- statistics -------------------------------------------------------------------------------------------------------
 
 
@@ -633,6 +706,26 @@ def text_checkout_concurrent(spark, sf_dir):
     return text.checkouts(r, t, a, tips).select("doc", "content")
 
 
+@query("append_ops", DUET + ", t AS (SELECT doc, string_agg(substr(content, n // 4 + n // 8 + 1), '' ORDER BY pair) AS content FROM p GROUP BY doc) SELECT doc, '?!' || substr(content, 2) AS content FROM t")
+def append_ops(spark, sf_dir):
+    """To each text, `!` is put in front and the character behind it deleted, then another agent puts `?` in front."""
+    t = derived.duets(spark, sf_dir)
+    op = lambda kind, pos, content: F.struct(F.lit(kind).alias("kind"), F.lit(pos).cast("long").alias("pos"), F.lit(1).cast("long").alias("n"), F.lit(content).cast("string").alias("content"), F.lit(True).alias("fwd"))
+    edit = lambda txn, agent, *ops: t["tips"].select("doc", F.lit(txn).alias("txn"), F.lit(agent).alias("agent"), F.lit(None).cast("array<bigint>").alias("parents"), F.array(*ops).alias("ops"))
+    log = merge.appended(t, edit(1, "z", op("Ins", 0, "!"), op("Del", 1, None)).union(edit(2, "y", op("Ins", 0, "?"))))
+    asked = graph.tip_versions(log["runs"]).withColumn("q", F.lit(0).cast("long"))
+    return text.checkouts(log["runs"], log["text"], log["agents"], asked).select("doc", "content")
+
+
+@query("branch_merge", DUET + ", t AS (SELECT doc, string_agg(substr(content, n // 4 + n // 8 + 1), '' ORDER BY pair) AS content FROM p GROUP BY doc) SELECT doc, content FROM t")
+def branch_merge(spark, sf_dir):
+    """A branch at the first turn alone, merged up to the tips."""
+    t = derived.duets(spark, sf_dir)
+    first = t["runs"].filter("start = 0").select("doc", F.array(F.col("end") - 1).alias("a")).join(t["text"].filter("lv = 0").select("doc", "content"), "doc")
+    asked = first.join(t["tips"].withColumnRenamed("version", "b"), "doc").withColumn("q", F.lit(0).cast("long"))
+    return text.merged_branches(t["runs"], t["text"], t["agents"], asked).select("doc", "content")
+
+
 @query("text_has_conflicts", DUET + " SELECT doc, max(k) >= 1 AS conflicts FROM e GROUP BY doc")
 def text_has_conflicts(spark, sf_dir):
     r, t, a, tips = _duets(spark, sf_dir)
