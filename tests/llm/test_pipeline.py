@@ -1,48 +1,105 @@
 """The pipeline against a plain version of each stage's decisions, and on odd inputs."""
 
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_llm import brute_classes, plain_features, plain_ftrl
+
+from tributary.llm import packing
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_language(docs):
+    """Rows whose language a naive Bayes over character trigrams of all rows can tell: here, those with letters or digits."""
+    return [r for r in docs if re.search(r"[^\W_]", r["text"] or "")]
+
+
+def plain_toxicity(docs, labels, place):
+    rows = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 and i in {r["doc_id"] for r in docs}]
+    text_of = {r["doc_id"]: r["text"] for r in docs}
+    rows.sort(key=lambda x: (place[x[0]], x[1]))
+    weights = plain_ftrl([(plain_features(text_of[i]), y) for i, y in rows], 2.0, 1.0, 5.0, 4, 2.0)
+    score = lambda t: 1 / (1 + math.exp(-sum(weights.get(k, 0.0) for k in plain_features(t)) - weights[None]))
+    return [r for r in docs if score(r["text"]) < 0.5]
+
 
-from tributary.llm import exact_dedup, language_id, minhash_dedup, packing, toxicity
+def plain_exact(docs):
+    best = {}
+    for r in docs:
+        key = re.sub(r"[\x20\x09-\x0D]", "", r["text"])
+        rank = (-len(r["text"]), r["doc_id"])
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, r)
+    return [r for _, r in best.values()]
+
+
+def plain_near(docs):
+    of = brute_classes([(r["doc_id"], r["text"]) for r in docs])
+    return [r for r in docs if of[r["doc_id"]] == r["doc_id"]]
+
+
+def plain_pack(docs, capacity=packing.CAPACITY):
+    """The pieces of one shard: bins of (source, cluster) by best fit, each item into the fullest that takes it."""
+    bins, out = [], Counter()
+    size = lambda r: len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"])) + 1
+    for r in sorted(docs, key=lambda r: (-(size(r) % capacity), r["doc_id"])):
+        whole, left = divmod(size(r), capacity)
+        out.update([(r["doc_id"], piece, 0, capacity) for piece in range(whole)])
+        if left:
+            fits = [(b["left"], k) for k, b in enumerate(bins) if b["left"] >= left and (r["source"] is None or r["source"] not in b["sources"])]
+            if fits:
+                b = bins[min(fits)[1]]
+            else:
+                b = {"left": capacity, "sources": set()}
+                bins.append(b)
+            out[r["doc_id"], whole, capacity - b["left"], left] += 1
+            b["left"] -= left
+            b["sources"].add(r["source"])
+    return out
 
 
 def test_stages_and_run(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    place = {r["doc_id"]: r["p"] for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("p")).collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "toxicity", "exact_dedup", "minhash_dedup", "best_fit_packing"]
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-
-    def kept(name, at):
-        """The ids that a stage must keep, from the operator's own decisions, applied row by row."""
-        if name == "language_id":
-            gone = {r["doc_id"] for r in language_id.fuse(language_id.document_rows(at), language_id.train(at), ["doc_id"]).collect() if not r["accepted"]}
-        elif name == "toxicity":
-            gone = {r["doc_id"] for r in toxicity.toxicity(at, labels).collect() if r["predicted"]}
-        elif name == "exact_dedup":
-            gone = {r["doc_id"] for r in exact_dedup.exact_dedup(at).collect() if not r["kept"]}
-        else:
-            gone = {r["doc_id"] for r in minhash_dedup.near_classes(at).collect() if not r["kept"]}
-        return sorted(r["doc_id"] for r in at.collect() if r["doc_id"] not in gone)
-
+    plain = [plain_language, lambda rows: plain_toxicity(rows, labels, place), plain_exact, plain_near]
     at = docs
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+    for k, ((_, stage), keep) in enumerate(zip(corpus_pipeline.STAGES, plain, strict=False)):
         out = stage(spark, at, sf)
-        assert out.columns == columns and out.dtypes == docs.dtypes
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
         out.write.parquet(f"{tmp_path}/{k}")
         after = spark.read.parquet(f"{tmp_path}/{k}")
-        assert sorted(r["doc_id"] for r in after.collect()) == kept(name, at)
+        assert sorted(map(tuple, after.collect())) == sorted(map(tuple, keep(at.collect())))
         at = after
     assert 0 < at.count() < docs.count()
-    whole = corpus_pipeline.run(spark, sf)
-    again = packing.best_fit(at)
-    total = lambda df: sorted(tuple(r) for r in df.groupBy("doc_id").agg(F.sum("n")).collect())
-    assert total(whole) == total(again)
+    got = Counter((r["doc_id"], r["piece"], r["start"], r["n"]) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == plain_pack(at.collect())
 
 
 def test_odd_rows(spark, sf):
     rows = [(1, "some words that are here", "en", "a", 1), (1, "some words that are here", "en", "a", 1), (None, None, None, None, None), (2, "", "en", "a", 0), (3, None, None, None, None), (4, "other words than those", "en", "b", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("_id", F.lit(1)).withColumn("kept", F.lit("x"))
+    docs = spark.createDataFrame(rows, COLUMNS).withColumn("_id", F.lit(1)).withColumn("kept", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.filter("false"), sf).count() == 0
         assert stage(spark, docs, sf).count() >= 1
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_exact(spark, docs, sf).filter("doc_id IN (1, 4)").collect()) == [1, 4]
+
+
+def test_repeated_ids_and_long_texts(spark, sf):
+    # rows that share an id go or stay for their own texts; a text of 200,000 words goes through whole
+    word = lambda seed: random.Random(seed).randrange(10**6)
+    text = lambda seed, n=40: " ".join(f"w{word(seed)}x{k}" for k in range(n))
+    rows = [(1, text(1), "en", "a", 1), (1, "--", "en", "a", 1), (1, text(2), "en", "b", 1), (2, text(1), "en", "a", 1), (3, text(2) + " more", "en", "b", 1), (4, text(4, 200_000), "en", "c", 1)]
+    at = spark.createDataFrame(rows, COLUMNS)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf)
+    assert sorted((r["doc_id"], r["text"]) for r in at.collect()) == sorted([(1, text(1)), (1, text(2)), (4, text(4, 200_000))])
+    packed = corpus_pipeline.pack(spark, at, sf).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in packed} == {1: 82, 4: 200_001}
