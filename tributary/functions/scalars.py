@@ -36,6 +36,61 @@ def chars_to_bytes(text: Column, chars: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), chars.cast("int"))).cast("long")
 
 
+def bytes_to_chars(text: Column, size: Column) -> Column:
+    """Code points before a UTF-8 position."""
+    head = F.substring(F.encode(text, "UTF-8"), F.lit(1), size.cast("int"))
+    return F.length(F.decode(head, "UTF-8")).cast("long")
+
+
+def utf16_edit(text: Column, units: Column, removed: Column, added: Column) -> Column:
+    """struct<pos, del, ins>: an edit given by UTF-16 positions, in code points."""
+    pos, end = utf16_to_chars(text, units), utf16_to_chars(text, units + removed)
+    return F.struct(pos.alias("pos"), (end - pos).alias("del"), added.alias("ins"))
+
+
+def mix_bit(x: Column, bit: Column) -> Column:
+    """A number and a flag in one number."""
+    return F.shiftleft(x, 1) + bit.cast("long")
+
+
+def strip_bit(x: Column) -> Column:
+    """struct<value, bit>: what mix_bit put together."""
+    return F.struct(F.shiftrightunsigned(x, 1).alias("value"), (x.bitwiseAND(F.lit(1).cast("long")) == 1).alias("bit"))
+
+
+#: Fixed values of the format: bits of a number in one, two, ... bytes; whatever needs more takes nine.
+PREFIX_BITS = (7, 14, 21, 28, 35, 42, 49, 54)
+#: The least number of each length: shorter lengths are used up first.
+PREFIX_LEAST = tuple(sum(1 << b for b in PREFIX_BITS[:k]) for k in range(9))
+
+
+def prefix_varint(x: Column) -> Column:
+    """Binary: the first byte's leading ones tell how many bytes follow; big-endian. For numbers from 0 on."""
+    x = x.cast("long")
+    out = None
+    for k in range(9):
+        n, ones = k + 1, ((1 << k) - 1) << (8 * k + 8 - k)
+        signed = ones - (1 << 64) if n == 8 else ones
+        body = F.hex(x - PREFIX_LEAST[k] + F.lit(signed).cast("long")) if k < 8 else F.hex(x - PREFIX_LEAST[k])
+        coded = F.unhex(F.concat(F.lit("FF"), F.lpad(body, 16, "0")) if k == 8 else F.lpad(body, 2 * n, "0"))
+        out = F.when(x < PREFIX_LEAST[1], coded) if k == 0 else out.when(x < PREFIX_LEAST[k + 1], coded) if k < 8 else out.otherwise(coded)
+    return F.when(x >= 0, out)
+
+
+def from_prefix_varint(data: Column) -> Column:
+    """The number that a binary begins with; null where its bytes end too soon."""
+    first = F.conv(F.hex(F.substring(data, 1, 1)), 16, 10).cast("int")
+    out = None
+    for k in range(9):
+        digits = F.hex(F.substring(data, 1, k + 1) if k < 8 else F.substring(data, 2, 8))
+        held = F.conv(digits, 16, -10).cast("long")
+        value = (held.bitwiseAND(F.lit((1 << 7 * k + 7) - 1).cast("long")) if k < 8 else held) + PREFIX_LEAST[k]
+        value = F.when(F.octet_length(data) > k, value)
+        most = 256 - (1 << 7 - k) if k < 8 else 256
+        out = F.when(first < most, value) if out is None else out.when(first < most, value)
+    return out
+
+
 def split_at_char(text: Column, chars: Column) -> Column:
     """struct<head, tail>."""
     return F.struct(F.substring(text, F.lit(1), chars.cast("int")).alias("head"), F.substring(text, (chars + 1).cast("int"), F.length(text)).alias("tail"))

@@ -39,6 +39,21 @@ def advance_by_run(v: Column, parents: Column, last: Column) -> Column:
     return F.array_sort(F.array_union(F.array_except(v, parents), F.array(last)))
 
 
+def inserted(v: Column, op: Column) -> Column:
+    """The version with one more operation, which it may have already."""
+    return F.array_sort(F.array_union(v, F.array(op)))
+
+
+def replaced(v: Column, old: Column, new: Column) -> Column:
+    """The version with one operation in another's place."""
+    return F.array_sort(F.array_distinct(F.transform(v, lambda x: F.when(x == old, new).otherwise(x))))
+
+
+def same_version(a: Column, b: Column) -> Column:
+    """Whether two versions name the same operations, in whatever order and whatever they are named by: numbers or structs of agent and seq."""
+    return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+
+
 def is_sorted(v: Column) -> Column:
     return v == F.array_sort(F.array_distinct(v))
 

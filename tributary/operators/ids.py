@@ -54,6 +54,19 @@ def remote_version(versions: DataFrame, agents: DataFrame) -> DataFrame:
     return keyed.join(lists, "_row", "left").drop("_row").withColumn("remote", F.coalesce("remote", F.array().cast("array<struct<agent:string,seq:bigint>>")))
 
 
+def sampled_version(tips: DataFrame, agents: DataFrame, count: int) -> DataFrame:
+    """(doc, lv, agent, seq): a document's tips (doc, lv), and operations ever sparser towards its beginning, about `count` in all.
+
+    Of n operations those at n - 1, n - f, n - f^2, ..., f chosen so that as many as are wanted reach the beginning, 1.1 at least.
+    """
+    size = agents.groupBy("doc").agg(F.max("lv_end").alias("n")).join(tips.groupBy("doc").agg((F.lit(count) - F.count(F.lit(1))).alias("more")), "doc")
+    factor = F.greatest(F.lit(1.1), F.pow(F.col("n").cast("double"), 1 / F.col("more")))
+    steps = F.ceil(F.log(F.col("n").cast("double")) / F.log(factor) - 1e-9).cast("int") - 1
+    back = F.transform(F.sequence(F.lit(0), F.greatest(steps, F.lit(0))), lambda k: F.floor(F.pow(factor, k) + 1e-9))
+    older = size.filter("more > 0").select("doc", F.explode(F.array_distinct(F.transform(back, lambda b: F.col("n") - b))).alias("lv"))
+    return to_remote(tips.select("doc", "lv").union(older).distinct(), agents)
+
+
 def next_seq(agents: DataFrame) -> DataFrame:
     """(doc, agent, next_seq): where each agent goes on; also the flat version summary."""
     return agents.groupBy("doc", "agent").agg(F.max(F.col("seq_start") + F.col("lv_end") - F.col("lv_start")).alias("next_seq"))

@@ -21,6 +21,14 @@ def coalesce_runs(runs: DataFrame, keys: Sequence[str], values: Sequence[str] =
     return flagged.withColumn("_island", island).groupBy(*keys, *values, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
+def coalesce_descending(runs: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Runs that arrive in `order`, each joined to the one before where it ends at that one's start, as backspaces do: (*keys, start, end, pieces)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    new = F.when(F.lag("start").over(w) == F.col("end"), 0).otherwise(1)
+    islands = runs.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("pieces")).drop("_island")
+
+
 def explode_runs(runs: DataFrame, unit: str = "lv", start: str = "start", end: str = "end") -> DataFrame:
     """A row for each operation."""
     return runs.filter(F.col(start) < F.col(end)).withColumn(unit, F.explode(F.sequence(F.col(start), F.col(end) - 1)))
@@ -80,6 +88,12 @@ def gaps(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return runs.withColumn("_from", before).filter(F.col("_from") < F.col("start")).select(*keys, F.col("_from").alias("start"), F.col("start").alias("end"))
 
 
+def runs_and_gaps(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs and the gaps between them: (*keys, start, end, is_gap)."""
+    held = runs.select(*keys, "start", "end", F.lit(False).alias("is_gap"))
+    return held.union(gaps(runs, keys).withColumn("is_gap", F.lit(True)))
+
+
 def next_run(points: DataFrame, runs: DataFrame, keys: Sequence[str], point: str = "lv") -> DataFrame:
     """For each point the start of the first run that ends after it, or null: a union of both, ordered, and the least start that follows."""
     rows = points.select(*keys, F.col(point).alias("_at"), F.lit(0).alias("_run"), F.col(point), F.lit(None).cast("long").alias("_start"))

@@ -10,10 +10,22 @@ from ..kernels.text import Merge, Op
 from .graph import history_of, ints
 
 
+def _edits(text: pd.DataFrame) -> list[Op]:
+    return [Op(int(r.lv), int(r.n), r.kind, int(r.pos), r.content, bool(r.fwd)) for r in text.itertuples()]
+
+
+def _names(agents: pd.DataFrame) -> list[tuple[int, int, str, int]]:
+    return [(int(a.lv_start), int(a.lv_end), a.agent, int(a.seq_start)) for a in agents.itertuples()]
+
+
 def _merge(runs: pd.DataFrame, text: pd.DataFrame, agents: pd.DataFrame) -> Merge:
-    ops = [Op(int(r.lv), int(r.n), r.kind, int(r.pos), r.content, bool(r.fwd)) for r in text.itertuples()]
-    who = [(int(a.lv_start), int(a.lv_end), a.agent, int(a.seq_start)) for a in agents.itertuples()]
-    return Merge(history_of(runs), ops, who)
+    return Merge(history_of(runs), _edits(text), _names(agents))
+
+
+def _merges(runs: pd.DataFrame, text: pd.DataFrame, agents: pd.DataFrame) -> dict[int, Merge]:
+    """A document's texts, each with its own edits, over one history."""
+    history, who = history_of(runs), _names(agents)
+    return {int(crdt): Merge(history, _edits(own), who) for crdt, own in text.groupby("crdt")}
 
 
 def _whole(runs: DataFrame, text: DataFrame, agents: DataFrame) -> DataFrame:
@@ -22,7 +34,7 @@ def _whole(runs: DataFrame, text: DataFrame, agents: DataFrame) -> DataFrame:
     return packed(runs, "runs").join(packed(text, "text"), "doc").join(packed(agents, "agents"), "doc")
 
 
-def _ask(runs: DataFrame, text: DataFrame, agents: DataFrame, questions: DataFrame, answer, schema: str) -> DataFrame:
+def _ask(runs: DataFrame, text: DataFrame, agents: DataFrame, questions: DataFrame, answer, schema: str, build=_merge) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     asked = _whole(runs, text, agents).join(questions.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in questions.columns if c != "doc"])).alias("questions")), "doc")
 
@@ -30,7 +42,7 @@ def _ask(runs: DataFrame, text: DataFrame, agents: DataFrame, questions: DataFra
         for batch in batches:
             rows = []
             for doc in batch.to_dict("records"):
-                merge = _merge(*(pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in doc[t]]) for t in ("runs", "text", "agents")))
+                merge = build(*(pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in doc[t]]) for t in ("runs", "text", "agents")))
                 for q in doc["questions"]:
                     q = dict(q) if isinstance(q, dict) else q.asDict()
                     rows += [(doc["doc"], *row) for row in answer(merge, q)]
@@ -63,6 +75,22 @@ def conflicting(runs: DataFrame, text: DataFrame, agents: DataFrame, pairs: Data
     return _ask(runs, text, agents, pairs, lambda m, q: [(q["q"], m.conflicts(ints(q["a"]), ints(q["b"])))], "doc long, q long, conflicts boolean")
 
 
+def embedded_checkouts(runs: DataFrame, text: DataFrame, agents: DataFrame, versions: DataFrame) -> DataFrame:
+    """Texts inside documents: text also names each edit's text, `crdt`. (doc, q, crdt, content) of all of a document's texts at versions (doc, q, version)."""
+    each = lambda texts, q: [(q["q"], crdt, m.checkout(ints(q["version"]))) for crdt, m in texts.items()]
+    return _ask(runs, text, agents, versions, each, "doc long, q long, crdt long, content string", _merges)
+
+
+def embedded_transformed(runs: DataFrame, text: DataFrame, agents: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As `transformed`, for all texts inside documents: (doc, q, crdt, step, lv, n, kind, pos, content)."""
+
+    def answer(texts: dict[int, Merge], q: dict):
+        for crdt, m in texts.items():
+            yield from ((q["q"], crdt, step, *row) for step, row in enumerate(m.transformed(ints(q["a"]), ints(q["b"]))))
+
+    return _ask(runs, text, agents, pairs, answer, "doc long, q long, crdt long, step long, lv long, n long, kind string, pos long, content string", _merges)
+
+
 def linear_positions(pieces: DataFrame, order: str) -> DataFrame:
     """pieces (doc, ..., content) appended one after another: each one's first operation and place."""
     w = Window.partitionBy("doc").orderBy(order)

@@ -11,16 +11,16 @@ from ..model import ROOT
 
 
 def checkout(entries: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
-    """entries (doc, crdt, key, value, child), child the id of a nested map or null, to (doc, path, value, is_map)."""
-    at = entries.filter(F.col("crdt") == ROOT).select("doc", F.array("key").alias("path"), "value", "child")
+    """entries (doc, crdt, key, value, child), child the id of a nested map or null, to (doc, path, crdt, value, child, is_map)."""
+    at = entries.filter(F.col("crdt") == ROOT).select("doc", F.array("key").alias("path"), "crdt", "value", "child")
     out = None
     while not (at := cut(at)).isEmpty():
-        rows = at.select("doc", "path", "value", F.col("child").isNotNull().alias("is_map"))
+        rows = at.select("doc", "path", "crdt", "value", "child", F.col("child").isNotNull().alias("is_map"))
         out = rows if out is None else out.union(rows)
         inner = entries.select("doc", F.col("crdt").alias("_in"), "key", F.col("value").alias("_value"), F.col("child").alias("_child"))
         parents = at.filter("child IS NOT NULL").select("doc", "path", F.col("child").alias("_in"))
-        at = parents.join(inner, ["doc", "_in"]).select("doc", F.array_append("path", F.col("key")).alias("path"), F.col("_value").alias("value"), F.col("_child").alias("child"))
-    return out if out is not None else entries.filter("false").select("doc", F.array("key").alias("path"), "value", F.lit(False).alias("is_map"))
+        at = parents.join(inner, ["doc", "_in"]).select("doc", F.array_append("path", F.col("key")).alias("path"), F.col("_in").alias("crdt"), F.col("_value").alias("value"), F.col("_child").alias("child"))
+    return out if out is not None else entries.filter("false").select("doc", F.array("key").alias("path"), "crdt", "value", "child", F.lit(False).alias("is_map"))
 
 
 def at_path(entries: DataFrame, path: list[str]) -> DataFrame:

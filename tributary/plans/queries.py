@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..model import ROOT, spelled
-from ..operators import graph, ids, merge, registers, runs, sets, stats, sync, text, trees
+from ..operators import documents, graph, ids, merge, registers, runs, sets, stats, sync, text, trees
 from ..sources.cuts import written
 from . import derived
 from .derived import ASKED, EV, table
@@ -88,6 +88,20 @@ def rle_gaps(spark, sf_dir):
     return runs.gaps(Log(spark, sf_dir).spans.select("doc", "agent", "start", "end"), ["doc", "agent"])
 
 
+@query("rle_runs_and_gaps", EV + """, p AS (SELECT *, lag(e) OVER (PARTITION BY doc, agent ORDER BY s) AS p FROM spans)
+SELECT doc, agent, s AS start, e AS "end", false AS is_gap FROM p UNION ALL SELECT doc, agent, p, s, true FROM p WHERE p < s""")
+def rle_runs_and_gaps(spark, sf_dir):
+    return runs.runs_and_gaps(Log(spark, sf_dir).spans.select("doc", "agent", "start", "end"), ["doc", "agent"])
+
+
+@query("rle_descending", EV + """, i AS (SELECT *, lv - row_number() OVER (PARTITION BY doc, round ORDER BY lv) AS g FROM ops) SELECT doc, round, min(lv) AS start, max(lv) + 1 AS "end", CAST(ceil(count(*) / 3) AS BIGINT) AS pieces FROM i GROUP BY doc, round, g""")
+def rle_descending(spark, sf_dir):
+    """Pieces of three operations, the last first."""
+    whole = runs.coalesce_runs(Log(spark, sf_dir).spans.select("doc", "round", "start", "end"), ["doc", "round"])
+    pieces = runs.take_max(whole, 3).withColumn("at", -F.col("start"))
+    return runs.coalesce_descending(pieces, ["doc", "round"], "at")
+
+
 @query("rle_clip", EV + " SELECT doc, greatest(s, 100) AS start, least(e, 300) AS \"end\" FROM spans WHERE s < 300 AND e > 100")
 def rle_clip(spark, sf_dir):
     return runs.clip(Log(spark, sf_dir).spans.select("doc", "start", "end"), F.lit(100).cast("long"), F.lit(300).cast("long"))
@@ -190,6 +204,15 @@ def summary_remainder(spark, sf_dir):
 # --- histories --------------------------------------------------------------------------------------------------------
 
 
+@query("sampled_version", EV + """, t AS (SELECT doc, lv FROM ops o WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc = o.doc AND e.parent = o.lv)),
+n AS (SELECT doc, max(e) AS n, 20 - (SELECT count(*) FROM t WHERE t.doc = spans.doc) AS more FROM spans GROUP BY doc),
+f AS (SELECT *, greatest(1.1, pow(n, 1.0 / more)) AS f FROM n WHERE more > 0),
+p AS (SELECT doc, lv FROM t UNION SELECT doc, n - CAST(floor(pow(f, k) + 1e-9) AS BIGINT) FROM f, range(500) r(k) WHERE pow(f, k) < n - 1e-6) SELECT doc, lv, agent, seq FROM p JOIN ops USING (doc, lv)""")
+def sampled_version(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    return ids.sampled_version(graph.tips(log.runs), log.agents, 20).select("doc", "lv", "agent", "seq")
+
+
 @query("tips_frontier", EV + " SELECT doc, lv FROM ops o WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.doc = o.doc AND e.parent = o.lv)")
 def tips_frontier(spark, sf_dir):
     return graph.tips(Log(spark, sf_dir).runs)
@@ -444,6 +467,20 @@ def register_heads_by_parents(spark, sf_dir):
     return registers.heads_by_parents(writes).select("doc", "key", "agent", "lv", "value")
 
 
+@query("snapshot_merge", EV + REPLACES + """ SELECT doc, key, agent, value, false AS known_twice FROM left_""")
+def snapshot_merge(spark, sf_dir):
+    """A snapshot of the first half of the rounds, written as lines and read again, with all our writes merged into it, twice."""
+    before = F.lag("seq").over(Window.partitionBy("doc", "key", "agent").orderBy("lv"))
+    named = F.when(before.isNotNull(), F.array(F.struct("agent", before.alias("seq")))).otherwise(F.array().cast("array<struct<agent:string,seq:bigint>>"))
+    log = Log(spark, sf_dir)
+    rounds = log.ops.select("doc", "lv", "round")
+    writes = log.writes.withColumn("replaces", named).withColumn("value", F.col("value").cast("string")).join(rounds, ["doc", "lv"]).withColumn("half", F.expr("max(round) OVER (PARTITION BY doc) div 2"))
+    state = documents.from_lines(documents.to_lines(documents.snapshot(writes.filter("round <= half"))))
+    merged = documents.merged_snapshot(documents.merged_snapshot(state, writes), writes)
+    twice = merged["heads"].groupBy("doc", "crdt", "key", "agent", "seq", "value").count()
+    return twice.select("doc", "key", "agent", F.col("value").cast("double").alias("value"), (F.col("count") > 1).alias("known_twice"))
+
+
 @query("map_delete", EV + HEADS + WON + " SELECT doc, key, value FROM won JOIN heads USING (doc, key, lv) WHERE kind <> 'delete'")
 def map_delete(spark, sf_dir):
     log = Log(spark, sf_dir)
@@ -726,6 +763,47 @@ def branch_merge(spark, sf_dir):
     return text.merged_branches(t["runs"], t["text"], t["agents"], asked).select("doc", "content")
 
 
+def _own_texts(spark, sf_dir):
+    """The same edits, each pair's in a text of its own that is named by where it stood."""
+    t = derived.duets(spark, sf_dir)
+    begin = F.last(F.when(F.col("kind") == "Ins", F.col("pos")), ignorenulls=True).over(Window.partitionBy("doc").orderBy("lv"))
+    own = t["text"].withColumn("crdt", begin).withColumn("pos", F.col("pos") - F.col("crdt"))
+    return t["runs"], own, t["agents"], t["tips"].withColumn("q", F.lit(0).cast("long"))
+
+
+OWN = DUET + """, o AS (SELECT *, CAST(sum(n - n // 4 - n // 8) OVER (PARTITION BY doc ORDER BY pair) - (n - n // 4 - n // 8) AS BIGINT) AS crdt FROM p)"""
+
+
+@query("embedded_texts", OWN + " SELECT doc, crdt, substr(content, n // 4 + n // 8 + 1) AS content FROM o")
+def embedded_texts(spark, sf_dir):
+    r, t, a, tips = _own_texts(spark, sf_dir)
+    return text.embedded_checkouts(r, t, a, tips).select("doc", "crdt", "content")
+
+
+@query("embedded_changes", OWN + " SELECT doc, crdt, 'Ins' AS kind, n FROM o UNION ALL SELECT doc, crdt, 'Del', CAST(2 * (n // 4) AS BIGINT) FROM o WHERE n >= 4")
+def embedded_changes(spark, sf_dir):
+    r, t, a, tips = _own_texts(spark, sf_dir)
+    found = text.embedded_transformed(r, t, a, tips.select("doc", "q", F.array().cast("array<bigint>").alias("a"), F.col("version").alias("b")))
+    return found.groupBy("doc", "crdt", "kind").agg(F.sum("n").alias("n"))
+
+
+@query("document_checkout", OWN + """ SELECT doc, 'title' AS path, 'value' AS kind, 'talk ' || doc AS value, 'lost' AS conflicts FROM o GROUP BY doc UNION ALL SELECT doc, 'turns', 'set', NULL, '' FROM o GROUP BY doc
+UNION ALL SELECT doc, 'turns/pair@' || crdt, 'text', substr(content, n // 4 + n // 8 + 1), '' FROM o""")
+def document_checkout(spark, sf_dir):
+    """Documents of a title, which another one lost to, and a set of texts."""
+    r, t, a, tips = _own_texts(spark, sf_dir)
+    texts = text.embedded_checkouts(r, t, a, tips).select("doc", "crdt", "content")
+    docs, none, the_set = tips.select("doc"), F.lit(None).cast("long"), F.lit(-2).cast("long")
+    title = F.struct(F.lit("title").alias("key"), F.concat(F.lit("talk "), F.col("doc").cast("string")).alias("value"), none.alias("child"))
+    turns = F.struct(F.lit("turns").alias("key"), F.lit(None).cast("string").alias("value"), the_set.alias("child"))
+    entries = docs.select("doc", F.lit(ROOT).cast("long").alias("crdt"), F.inline(F.array(title, turns)))
+    elements = texts.select("doc", the_set.alias("crdt"), F.lit("pair").alias("agent"), F.col("crdt").alias("seq"), F.lit(None).cast("string").alias("value"), F.col("crdt").alias("child"))
+    containers = texts.select("doc", "crdt", F.lit("text").alias("kind")).union(docs.select("doc", the_set, F.lit("set")))
+    losers = docs.select("doc", F.lit(ROOT).cast("long").alias("crdt"), F.lit("title").alias("key"), F.lit("lost").alias("value"))
+    found = documents.checkout(entries, containers, elements, texts, losers, lambda level: written(level, "level"))
+    return found.select("doc", F.array_join("path", "/").alias("path"), "kind", "value", F.array_join("conflicts", ",").alias("conflicts"))
+
+
 @query("text_has_conflicts", DUET + " SELECT doc, max(k) >= 1 AS conflicts FROM e GROUP BY doc")
 def text_has_conflicts(spark, sf_dir):
     r, t, a, tips = _duets(spark, sf_dir)
@@ -760,6 +838,14 @@ def zigzag(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", scalars.zigzag(F.floor(F.col("value") * 100).cast("long")).alias("z"))
 
 
+@query("prefix_varint", """WITH v AS (SELECT l_orderkey, l_linenumber, l_orderkey * l_linenumber * l_linenumber * 97 AS v FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN v < 128 THEN lpad(hex(v), 2, '0') WHEN v < 16512 THEN hex(32768 + v - 128) WHEN v < 2113664 THEN hex(12582912 + v - 16512) ELSE hex(3758096384 + v - 2113664) END AS coded, v AS decoded FROM v""")
+def prefix_varint(spark, sf_dir):
+    v = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_orderkey").cast("long") * F.col("l_linenumber") * F.col("l_linenumber") * 97).alias("v"))
+    coded = v.withColumn("b", scalars.prefix_varint(F.col("v")))
+    return coded.select("l_orderkey", "l_linenumber", F.hex("b").alias("coded"), scalars.from_prefix_varint(F.col("b")).alias("decoded"))
+
+
 @query("utf16_length", "SELECT doc_id, CAST(length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS units FROM documents")
 def utf16_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.utf16_length(F.coalesce("text", F.lit(""))).alias("units"))
