@@ -6,8 +6,8 @@ import random
 from pyspark.sql import functions as F
 
 from tributary import model
-from tributary.functions import scalars
-from tributary.operators import graph, ids, runs, sets, stats, sync, text, trees
+from tributary.functions import checksums, scalars
+from tributary.operators import graph, ids, merge, runs, sets, stats, sync, text, trees
 from tributary.sources import logs
 from tributary.streaming import ingest
 
@@ -165,3 +165,37 @@ def test_materialise(spark, tmp_path):
     keep(spark.createDataFrame([("k", "a", 0, "x"), ("k", "b", 0, "y")], schema), 0)
     keep(spark.createDataFrame([("k", "a", 5, "z"), ("m", "a", 1, "w")], schema), 1)
     assert rows(spark.read.parquet(f"{tmp_path}/1"), "key", "value") == [("k", "y"), ("m", "w")]
+
+
+def test_checksums_equal_bit_by_bit(spark):
+    def plain(data):
+        register = 0xFFFFFFFF
+        for byte in data:
+            register ^= byte
+            for _ in range(8):
+                register = (register >> 1) ^ (0x82F63B78 if register & 1 else 0)
+        return register ^ 0xFFFFFFFF
+
+    r = random.Random(3)
+    blobs = [b"123456789", None, *(r.randbytes(n) for n in (0, 1, 3, 4, 5, 255, 256, 257, 511, 513, 9000)), bytes(300)]
+    assert checksums.checksums(blobs)[0] == 0xE3069283 and checksums.checksums([]) == []
+    df = spark.createDataFrame(list(enumerate(blobs)), "k int, data binary").select("k", checksums.crc32c(F.col("data")).alias("crc"))
+    assert rows(df, "k", "crc") == [(k, None if b is None else plain(b)) for k, b in enumerate(blobs)]
+
+
+def test_edited_branches(spark):
+    log = {
+        "runs": spark.createDataFrame([(1, 0, 5, []), (1, 5, 7, [2]), (2, 0, 2, [])], model.RUNS),
+        "agents": spark.createDataFrame([(1, 0, 5, "ann", 0), (1, 5, 7, "ben", 0), (2, 0, 2, "ann", 0)], model.AGENTS),
+        "text": spark.createDataFrame([(1, 0, 5, "Ins", 0, "hello", True), (1, 5, 2, "Ins", 3, "XY", True), (2, 0, 2, "Ins", 0, "ab", True)], model.TEXT),
+    }
+    branches = spark.createDataFrame([(1, "hello", [4]), (2, "ab", [1])], "doc long, content string, version array<long>")
+    op = "doc long, txn long, agent string, ops array<struct<kind:string,pos:long,n:long,content:string,fwd:boolean>>"
+    edits = spark.createDataFrame([(1, 0, "ann", [("Ins", 5, 1, "!", True), ("Del", 0, 1, None, True)]), (1, 1, "cid", [("Ins", 0, 1, "J", True)]), (1, 2, "ROOT", [("Del", 0, 3, None, True)])], op)
+    grown, after = merge.edited_branches(log, branches, edits)
+    assert sorted(tuple(r) for r in after.collect()) == [(1, "Jello!", [9]), (2, "ab", [1])]
+    assert rows(grown["runs"].filter("doc = 1"), "start", "end", "parents")[2:] == [(7, 9, [4]), (9, 10, [8])]
+    asked = spark.createDataFrame([(1, 0, [9]), (1, 1, [6, 9])], "doc long, q long, version array<long>")
+    assert rows(text.checkouts(grown["runs"], grown["text"], grown["agents"], asked), "q", "content") == [(0, "Jello!"), (1, "Jello!XY")]  # at one place, ann comes before ben
+    taken = after.filter("doc = 1").select(scalars.with_deleted(F.col("content"), F.expr("named_struct('kind', 'Del', 'pos', 1L, 'n', 3L, 'content', CAST(null AS string))")).alias("op"))
+    assert taken.first()["op"]["content"] == "ell"

@@ -107,6 +107,22 @@ def transform_through(cursor: Column, ops: Column, left: bool = True) -> Column:
     return F.aggregate(ops, cursor, lambda at, op: transform_position(at, op["kind"], op["start"], op["end"], left))
 
 
+def edited(content: Column, ops: Column) -> Column:
+    """A text after an array of edits struct<kind, pos, n, content, ...>, in order."""
+
+    def step(text: Column, op: Column) -> Column:
+        ins = op["kind"] == "Ins"
+        after = op["pos"] + F.when(ins, F.lit(0)).otherwise(op["n"]) + 1
+        return F.concat(F.substring(text, F.lit(1), op["pos"].cast("int")), F.when(ins, op["content"]).otherwise(F.lit("")), F.substring(text, after.cast("int"), F.length(text)))
+
+    return F.aggregate(ops, content, step)
+
+
+def with_deleted(content: Column, op: Column) -> Column:
+    """A deletion struct<kind, pos, n, ...> of a text with the content that it takes away."""
+    return op.withField("content", F.substring(content, (op["pos"] + 1).cast("int"), op["n"].cast("int")))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value evaluated once however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)

@@ -136,6 +136,35 @@ def conflicts(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     return ask_together(runs, pairs, answer, "doc long, q long, flag string, start long, end long, common string")
 
 
+def conflict_graphs(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc, q, a, b) to the runs (doc, q, start, end, flag, parents) that both have after their common version; those without parents stand on it."""
+    rows = lambda h, q: ((q["doc"], q["q"], *run) for run in h.conflict_graph(ints(q["a"]), ints(q["b"]))[0])
+    return ask(runs, pairs, rows, "doc long, q long, start long, end long, flag string, parents array<long>")
+
+
+def merge_plans(runs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (doc, q, a, b) to the steps (doc, q, step, action, start, end) that take a text from a to a and b together: see History.merge_plan."""
+    rows = lambda h, q: ((q["doc"], q["q"], k, *step) for k, step in enumerate(h.merge_plan(ints(q["a"]), ints(q["b"]))))
+    return ask(runs, pairs, rows, "doc long, q long, step long, action string, start long, end long")
+
+
+def plan_costs(plans: DataFrame) -> DataFrame:
+    """(doc, q, clears, forwarded, applied, replayed, moved) of plans with steps: how often the tracker begins anew, and operations by kind of step."""
+    n = lambda *actions: F.sum(F.when(F.col("action").isin(*actions), F.col("end") - F.col("start")).otherwise(0))
+    kinds = {"forwarded": n("forward"), "applied": n("apply"), "replayed": n("replay"), "moved": n("retreat", "advance")}
+    return plans.groupBy("doc", "q").agg(F.count_if(F.col("action") == "clear").alias("clears"), *(c.alias(name) for name, c in kinds.items()))
+
+
+def advanced(runs: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions (doc, q, version, spans array<struct<start,end>>) to (doc, q, version) after the spans, whose parents the version or the spans have."""
+    return versions_of(runs, questions, lambda h, q: h.advance(ints(q["version"]), h.split(spans_of(q, "spans"), ())))
+
+
+def retreated(runs: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions (doc, q, version, spans) to (doc, q, version) without the spans; nothing that is left may descend from them."""
+    return versions_of(runs, questions, lambda h, q: h.retreat(ints(q["version"]), spans_of(q, "spans")))
+
+
 def versions_of(runs: DataFrame, questions: DataFrame, form: Callable[[History, dict], list[int]]) -> DataFrame:
     """questions (doc, q, ...) to (doc, q, version), the version being form's."""
     return ask(runs, questions, lambda h, q: [(q["doc"], q["q"], form(h, q))], "doc long, q long, version array<long>")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import edited
 from ..sources.cuts import written
 from .graph import tip_versions
 from .ids import is_agent_name, next_seq, summary, to_local, to_remote
@@ -65,6 +66,24 @@ def appended(log: Log, edits: DataFrame) -> Log:
     }
 
 
+def edited_branches(log: Log, branches: DataFrame, edits: DataFrame) -> tuple[Log, DataFrame]:
+    """(log, branches) after local edits (doc, txn, agent, ops) to branches (doc, content, version), content the text at version.
+
+    A branch's edits follow each other in the order of txn, the first at the branch's version, so they change its content as they are;
+    txns that `appended` leaves out change nothing. Branches without edits stay as they are.
+    """
+    size = F.aggregate("ops", F.lit(0).cast("long"), lambda a, o: a + o["n"])
+    given = edits.filter((size > 0) & is_agent_name(F.col("agent"))).join(branches.select("doc", "version"), "doc")
+    first = F.row_number().over(Window.partitionBy("doc").orderBy("txn")) == 1
+    grown = appended(log, given.withColumn("parents", F.when(first, F.col("version"))).drop("version"))
+    total = given.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("txn", "ops"))), lambda x: x["ops"])).alias("ops"))
+    last = grown["runs"].groupBy("doc").agg(F.max("end").alias("_end"))
+    met = branches.join(total, "doc", "left").join(last, "doc", "left")
+    content = F.when(F.col("ops").isNull(), F.col("content")).otherwise(edited(F.col("content"), F.col("ops")))
+    version = F.when(F.col("ops").isNull(), F.col("version")).otherwise(F.array(F.col("_end") - 1))
+    return grown, met.select("doc", content.alias("content"), version.alias("version"))
+
+
 def named_runs(log: Log) -> DataFrame:
     """(doc, start, end, agent, seq, parents): runs cut where the agent changes."""
     runs = log["runs"].select("doc", "start", "end", F.col("start").alias("run"), "parents")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ask, tip_versions
+from .runs import intersect_runs
 
 
 def log_stats(runs: DataFrame, agents: DataFrame) -> DataFrame:
@@ -56,3 +57,9 @@ def repeated(runs: DataFrame, times: int) -> DataFrame:
     shift = F.col("copy") * F.col("_n")
     on = F.when((F.size("parents") == 0) & (F.col("copy") > 0), F.transform("_tips", lambda p: p + shift - F.col("_n"))).otherwise(F.transform("parents", lambda p: p + shift))
     return copies.select("doc", "copy", (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"), on.alias("parents"))
+
+
+def edit_costs(text: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (doc, q, start, end) to (doc, q, cost): how many runs of edits the operations touch."""
+    ops = text.select("doc", F.col("lv").alias("start"), (F.col("lv") + F.col("n")).alias("end"))
+    return intersect_runs(ops, asked.select("doc", "q", "start", "end"), ["doc"]).groupBy("doc", "q").agg(F.count(F.lit(1)).alias("cost"))

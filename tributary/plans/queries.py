@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import checksums, scalars
 from ..model import ROOT, spelled
 from ..operators import documents, graph, ids, merge, registers, runs, sets, stats, sync, text, trees
 from ..sources.cuts import written
@@ -359,6 +359,38 @@ def conflict_common_version(spark, sf_dir):
     return graph.conflicts(log.runs, _sided(log)).select("doc", "q", "common").distinct()
 
 
+@query("conflict_graph", EV + PAIRED + """, x AS (SELECT b.*, o.round FROM met b JOIN good USING (doc, q) JOIN ops o USING (doc, lv)),
+cut AS (SELECT doc, q, oa.round AS ra, ob.round AS rb, oa.agent = ob.agent AS same FROM sides s JOIN sides t USING (doc, q) JOIN good USING (doc, q) JOIN ops oa ON oa.doc = s.doc AND oa.lv = s.lv JOIN ops ob ON ob.doc = t.doc AND ob.lv = t.lv WHERE s.side = 'a' AND t.side = 'b'),
+zone AS (SELECT doc, q, lv, CASE WHEN in_a AND in_b THEN 'shared' WHEN in_a THEN 'a' ELSE 'b' END AS flag FROM x JOIN cut USING (doc, q)
+WHERE NOT (in_a AND in_b) OR (NOT same AND ra <> rb AND x.round = least(ra, rb) AND (SELECT count(*) FROM spans z WHERE z.doc = x.doc AND z.round = x.round) > 1))
+SELECT z.doc, z.q, z.lv, z.flag, coalesce(string_agg(CAST(y.lv AS VARCHAR), ',' ORDER BY y.lv), '') AS parents FROM zone z LEFT JOIN edges e ON e.doc = z.doc AND e.lv = z.lv LEFT JOIN zone y ON y.doc = z.doc AND y.q = z.q AND y.lv = e.parent GROUP BY ALL""")
+def conflict_graph(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    each = runs.explode_runs(graph.conflict_graphs(log.runs, _sided(log)))
+    parents = F.when(F.col("lv") == F.col("start"), F.col("parents")).otherwise(F.array(F.col("lv") - 1))
+    return each.select("doc", "q", "lv", "flag", spelled(parents).alias("parents"))
+
+
+@query("merge_plan", EV + """, w AS (SELECT doc, round, count(*) AS width, sum(e - s) AS n, arg_max(e - s, s) AS last FROM spans GROUP BY ALL)
+SELECT doc, count(*) FILTER (width > 1) AS clears, CAST(coalesce(sum(n) FILTER (width = 1), 0) AS BIGINT) AS forwarded, CAST(coalesce(sum(n) FILTER (width > 1), 0) AS BIGINT) AS applied, 0 AS replayed, CAST(coalesce(sum(n - last) FILTER (width > 1), 0) AS BIGINT) AS moved FROM w GROUP BY doc""")
+def merge_plan(spark, sf_dir):
+    """What it takes to merge each whole log: rounds of one run are forwarded, in others each run but the last is retreated from."""
+    log = Log(spark, sf_dir)
+    asked = graph.tip_versions(log.runs).select("doc", F.lit(0).cast("long").alias("q"), F.array().cast("array<bigint>").alias("a"), F.col("version").alias("b"))
+    return graph.plan_costs(graph.merge_plans(log.runs, asked)).drop("q")
+
+
+@query("version_moves", EV + """, v AS (SELECT doc, round AS q, string_agg(CAST(e - 1 AS VARCHAR), ',' ORDER BY e) AS version FROM spans GROUP BY ALL)
+SELECT n.doc, n.q, o.version AS retreated, n.version AS advanced FROM v n JOIN v o ON o.doc = n.doc AND o.q = n.q - 1""")
+def version_moves(spark, sf_dir):
+    """From the end of each round back to that of the one before, and forth again."""
+    log = Log(spark, sf_dir)
+    by_round = log.spans.groupBy("doc", F.col("round").alias("q")).agg(F.array_sort(F.collect_list(F.col("end") - 1)).alias("version"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    back = graph.retreated(log.runs, by_round.filter("q > 0"))
+    forth = graph.advanced(log.runs, back.join(by_round.select("doc", "q", "spans"), ["doc", "q"]))
+    return back.withColumnRenamed("version", "r").join(forth, ["doc", "q"]).select("doc", "q", spelled(F.col("r")).alias("retreated"), spelled(F.col("version")).alias("advanced"))
+
+
 @query("dominators_labelled", EV + SETS + " SELECT DISTINCT m.doc, m.q, m.lv, d.lv IS NOT NULL AS dominates FROM members m LEFT JOIN dom d USING (doc, q, lv)")
 def dominators_labelled(spark, sf_dir):
     log = Log(spark, sf_dir)
@@ -830,6 +862,35 @@ def text_stats(spark, sf_dir):
     return stats.text_stats(derived.duets(spark, sf_dir)["text"])
 
 
+@query("edit_costs", EV + " SELECT doc, count(*) AS cost FROM spans WHERE s < 300 AND e > 100 GROUP BY doc")
+def edit_costs(spark, sf_dir):
+    log = Log(spark, sf_dir)
+    edits = log.spans.select("doc", F.col("start").alias("lv"), (F.col("end") - F.col("start")).alias("n"))
+    asked = log.spans.select("doc").distinct().select("doc", F.lit(0).cast("long").alias("q"), F.lit(100).cast("long").alias("start"), F.lit(300).cast("long").alias("end"))
+    return stats.edit_costs(edits, asked).select("doc", "cost")
+
+
+@query("branch_edits", TALK + """, f AS (SELECT doc, arg_min(content, (turn, role)) AS content FROM c WHERE n >= 4 GROUP BY doc)
+SELECT doc, '> ' || left(content, 1) || substr(content, 2 + length(content) // 4) AS content, CAST(length(content) + 1 + length(content) // 4 AS BIGINT) AS tip FROM f""")
+def branch_edits(spark, sf_dir):
+    """A branch on each conversation's first longer turn: a quotation mark is put before it and a quarter of it deleted; the log has it all."""
+    rows = derived.conversations(spark, sf_dir).filter("n >= 4")
+    first = written(rows.groupBy("doc").agg(F.min_by("content", F.struct("turn", "role")).alias("content")).withColumn("n", F.length("content").cast("long")), "first")
+    at = F.lit(0).cast("long")
+    log = {
+        "runs": first.select("doc", at.alias("start"), F.col("n").alias("end"), F.array().cast("array<bigint>").alias("parents")),
+        "agents": first.select("doc", at.alias("lv_start"), F.col("n").alias("lv_end"), F.lit("ann").alias("agent"), at.alias("seq_start")),
+        "text": first.select("doc", at.alias("lv"), "n", F.lit("Ins").alias("kind"), at.alias("pos"), "content", F.lit(True).alias("fwd")),
+    }
+    op = lambda kind, pos, n, content: F.struct(F.lit(kind).alias("kind"), F.lit(pos).cast("long").alias("pos"), n.cast("long").alias("n"), content.cast("string").alias("content"), F.lit(True).alias("fwd"))
+    txn = lambda k, op: first.select("doc", F.lit(k).cast("long").alias("txn"), F.lit("ben").alias("agent"), F.array(op).alias("ops"))
+    edits = txn(0, op("Ins", 0, F.lit(2), F.lit("> "))).union(txn(1, op("Del", 3, F.expr("n div 4"), F.lit(None))))
+    grown, branches = merge.edited_branches(log, first.select("doc", "content", F.array(F.col("n") - 1).alias("version")), edits)
+    asked = branches.select("doc", at.alias("q"), "version")
+    texts = text.checkouts(grown["runs"], grown["text"], grown["agents"], asked).select("doc", F.col("content").alias("of_log"))
+    return branches.join(texts, "doc").filter("content = of_log").select("doc", "content", F.col("version")[0].alias("tip"))
+
+
 # --- scalars ----------------------------------------------------------------------------------------------------------
 
 
@@ -846,6 +907,13 @@ def prefix_varint(spark, sf_dir):
     return coded.select("l_orderkey", "l_linenumber", F.hex("b").alias("coded"), scalars.from_prefix_varint(F.col("b")).alias("decoded"))
 
 
+@query("crc32c", TALK + """, tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda x, y: xor(x >> 1, 2197175160 * (x & 1)))) AS t),
+b AS (SELECT doc, turn, role, t, list_transform(range(1, strlen(content) + 1), lambda i: CAST('0x' || substr(hex(content), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM c, tab)
+SELECT doc, turn, role, xor(list_reduce(list_prepend(4294967295, bytes), lambda r, x: xor(r >> 8, t[1 + (xor(r, x) & 255)])), 4294967295) AS crc FROM b""")
+def crc32c(spark, sf_dir):
+    return derived.conversations(spark, sf_dir).select("doc", "turn", "role", checksums.crc32c(F.encode("content", "UTF-8")).alias("crc"))
+
+
 @query("utf16_length", "SELECT doc_id, CAST(length(coalesce(text, '')) + length(regexp_replace(coalesce(text, ''), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS BIGINT) AS units FROM documents")
 def utf16_length(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.utf16_length(F.coalesce("text", F.lit(""))).alias("units"))
