@@ -3,6 +3,8 @@
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -103,3 +105,25 @@ def test_repeated_ids_and_long_texts(spark, sf):
     assert sorted((r["doc_id"], r["text"]) for r in at.collect()) == sorted([(1, text(1)), (1, text(2)), (4, text(4, 200_000))])
     packed = corpus_pipeline.pack(spark, at, sf).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in packed} == {1: 82, 4: 200_001}
+
+
+WORKERS = """
+import psutil
+from pyspark.sql import SparkSession
+
+import corpus_pipeline
+from tributary.llm.common import stash, table
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+docs = table(spark, SF, "documents")
+for name, stage in corpus_pipeline.STAGES:
+    docs = stash(stage(spark, docs, SF), name)
+    java = next(p for p in psutil.Process().children(recursive=True) if "java" in p.name())
+    print(name, len([p for p in java.children() if "python" in p.name()]), sum(len(p.children()) for p in java.children()))
+"""
+
+
+def test_one_python_worker_a_core(sf):
+    # workers stay and keep their memory, so a core must never need two, nor a second kind of them
+    out = subprocess.run([sys.executable, "-c", f"SF = {sf!r}{WORKERS}"], cwd=corpus_pipeline.__file__.rpartition("/")[0], capture_output=True, text=True, timeout=300, check=True).stdout
+    assert [x.split() for x in out.splitlines()] == [[name, "1", "1"] for name, _ in corpus_pipeline.STAGES]

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,8 +74,17 @@ def without_rows(docs: DataFrame, gone: DataFrame, row, bound: int = 500_000) ->
     return docs.join(F.broadcast(gone) if small else gone, same, "left_anti")
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A DataFrame of rows of the driver's, bounded by the caller, handed over as Arrow. A list of rows would go through plain
+    Python workers, which stay on the executors beside the Arrow ones, with a daemon of their own."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
-    """df.mapInArrow(f) with batches of at most 1,000 rows, as rows hold whole texts: less memory outside the heap and in the workers."""
+    """df.mapInArrow(f) with batches of at most 1,000 rows, as rows hold whole texts: less memory outside the heap and in the workers.
+
+    Not on another map_arrow without a written cut or a shuffle between: each would hold a worker in every task, and workers stay.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(df.sparkSession.conf.get(key)) > BATCH:
         df.sparkSession.conf.set(key, str(BATCH))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_counted, lower_az, map_arrow, stash, table, without_rows
+from .common import join_counted, lower_az, map_arrow, small_table, stash, table, without_rows
 from .textnum import _LOWER, _WORD, blocks, texts
 
 ROWS, BITS, LEAST_ROWS = 6000, 15, 5
@@ -84,13 +84,14 @@ def train(docs: DataFrame, rows: int = ROWS, id_col: str = "doc_id", text_col: s
         return ["und"], np.zeros((1, 1 << BITS))
     most = share([r["n"] for r in counted], rows)
     enough = most + 6 * most**0.5 + 20  # more than `most` rows of a language lie below this part of the places
-    bounds = docs.sparkSession.createDataFrame([(r["_lang"], max(r["least"], int(PLACES * min(1.0, enough / r["n"])))) for r in counted], "_lang string, bound long")
+    bound = [max(r["least"], int(PLACES * min(1.0, enough / r["n"]))) for r in counted]
+    bounds = small_table(docs.sparkSession, _lang=pa.array([r["_lang"] for r in counted], pa.string()), bound=pa.array(bound, pa.int64()))
     near = given.join(F.broadcast(bounds), "_lang").filter(F.col("_at") <= F.col("bound"))  # one row a language is broadcast
     first = Window.partitionBy("_lang").orderBy("_at", "_id", "_text")
     joined = near.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= most).select("_lang", "_text")
-    parts = map_arrow(joined, lambda b: count_batches(b, languages), "counts binary")
     # each task's counts are 2**15 numbers a language, so merge them by position before they leave the cluster
-    merged = map_arrow(parts, lambda b: split_counts(b, len(languages)), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    parts = map_arrow(joined, lambda b: split_counts(count_batches(b, languages), len(languages)), "lang int, gram int, n long")
+    merged = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), 1 << BITS))
     counts[merged["lang"], merged["gram"]] = merged["n"]
     smooth = counts + 0.5

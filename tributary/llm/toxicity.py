@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stash, table
+from .common import map_arrow, small_table, stash, table
 from .textnum import Words, blocks, mix, sum_by, texts
 
 BITS = 18
@@ -97,7 +97,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, id_col: str = "d
         out = np.zeros((1 << BITS) + 1)
         out[-1] = np.log(0.1 / 0.9)
         return out
-    chosen = docs.sparkSession.createDataFrame([(p, t, n) for (p, t), n in Counter(kept).items()], "place long, toxic int, copies int")
+    copies = Counter(kept)
+    chosen = small_table(docs.sparkSession, place=pa.array([p for p, _ in copies], pa.int64()), toxic=pa.array([t for _, t in copies], pa.int32()), copies=pa.array(copies.values(), pa.int32()))
     distinct = found.join(F.broadcast(chosen), ["place", "toxic"]).groupBy("place", "toxic", "copies").agg(F.first("at").alias("at")).collect()  # `size` bytes at most
     chosen_rows = [(np.frombuffer(r["at"], np.int32), r["toxic"]) for r in sorted(distinct, key=lambda r: (r["place"], r["toxic"])) for _ in range(r["copies"])]
     return ftrl(chosen_rows)
