@@ -708,6 +708,31 @@ def test_pieces_of_texts_are_whole_texts(documents):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == ids == np.frombuffer(encoder.encode(text), "<u2").tolist()
 
 
+def test_new_words_are_encoded_together(monkeypatch):
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_store.Encoder(f.read(), 2)
+    asked, packed = [], encoder.packed
+    monkeypatch.setattr(encoder, "packed", lambda x: asked.extend(x) or packed(x))
+    text = "".join(f"w{k}é.\n{k}x, " for k in range(1000)) + "end"
+    want = encoder.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == want and len(asked) < 100
+    asked.clear()
+    assert np.frombuffer(encoder.encode(text), "<u2").tolist() == want and len(asked) == 1  # the first word
+
+
+def test_texts_are_encoded_in_batches(monkeypatch):
+    monkeypatch.setattr(token_store, "TEXTS", 40)
+    monkeypatch.setattr(token_store, "PIECES", 9)
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = token_store.Encoder(f.read(), 2)
+    r = random.Random(5)
+    some = [" ", " ", "  ", "\n", "a", "It's", "Ġ", "Ġa", "\t", "\u00a0", "1", "é", "<|endoftext|>", "你好", "x" * 70]
+    for _ in range(200):
+        texts = [r.choice([None, "".join(r.choice(some) for _ in range(r.randint(0, 14)))]) for _ in range(r.randint(0, 30))]
+        got = [np.frombuffer(x, "<u2").tolist() for x in token_store.encoded(encoder, pa.array(texts, pa.string()))]
+        assert got == [encoder.library.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 # --- 10 language ID ---------------------------------------------------------------------------------------------------
 
 

@@ -34,9 +34,11 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ from .textnum import mix
 
 END = 2
 BLOCK = 1 << 20
+TEXTS = 4 << 20  # bytes of text that are encoded together, but for single texts
 PIECES = 900_000  # distinct pieces in each of two generations that a worker keeps
 FILE = "part int, shard int, first long, n_docs long, n_null long, n_ids long, width int, low long, high long, seeds binary, keys binary, prints binary, rows binary, offsets binary, lengths binary, data binary"
 
@@ -61,9 +64,12 @@ class Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         said = json.loads(tokenizer_json)
         pre = said.get("pre_tokenizer") or {}
-        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not any(" " in x for x in self.special)
+        self.by_piece = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not said.get("normalizer") and not said.get("truncation") and not said.get("padding") and not any(" " in x for x in self.special)
         if self.by_piece and hasattr(self.library.model, "_resize_cache"):
             self.library.model._resize_cache(0)  # it would only see what this class's own store lacks
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.opens[[k for x, k in vocabulary.items() if x.startswith("Ġ")]] = True  # how byte-level vocabularies write a blank
         self.known: dict[str, bytes | bool] = {}
         self.older: dict[str, bytes | bool] = {}
 
@@ -72,37 +78,82 @@ class Encoder:
         return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; none may be null. Words are told apart, looked up and put together by Arrow, each distinct one once."""
         if not self.by_piece:
-            return self.packed([text])[0]
-        first, *pieces = text.split(" ")  # but for the first, each stands for itself with a blank before it
+            return [self.packed([x.as_py()])[0] for x in texts]
+        split = pc.split_pattern(texts, " ")
+        words, ends = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        rest = np.ones(len(words), dtype=bool)
+        rest[ends[:-1]] = False
+        firsts = words.take(pa.array(ends[:-1])).to_pylist()
+        coded = words.filter(pa.array(rest)).dictionary_encode()  # but for a text's first, each stands for itself with a blank before it
+        ends -= np.arange(len(ends))
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # sooner than to_pylist
         found = list(map(self.known.get, pieces))
         if None in found:
             self.learn(pieces, found)
-        if False in found or (pieces and not self.alone(first)):
-            return self.packed([text])[0]
-        return b"".join([self.packed([first])[0], *found])
+        whole = np.zeros(len(texts), dtype=bool)
+        if False in found:
+            apart = np.fromiter((x is not False for x in found), bool, len(found))
+            bad = np.cumsum(np.append(False, ~apart[coded.indices.to_numpy()]))
+            whole = bad[ends[1:]] != bad[ends[:-1]]
+            found = [x or b"" for x in found]
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], "<i8")[ends].tolist() if len(ids) else [0] * len(ends)
+        data = memoryview(ids.buffers()[2] or b"")
+        short = [x for x in firsts if len(x) <= 64]
+        head = dict(zip(short, self.packed(short), strict=True))
+        out = []
+        for k, first in enumerate(firsts):
+            if whole[k] or (ends[k] < ends[k + 1] and not self.alone(first)):
+                out.append(self.packed([texts[k].as_py()])[0])
+            else:
+                out.append((head[first] if len(first) <= 64 else self.packed([first])[0]) + data[at[k] : at[k + 1]])
+        return out
 
     def learn(self, pieces: list[str], found: list) -> None:
         """Fill in what is None; False marks a piece that can't stand alone. Two generations: what was asked for lately stays."""
-        if len(self.known) > PIECES:
+        if len(self.known) + found.count(None) > PIECES:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        gaps = [k for k, x in enumerate(found) if x is None]
         fresh = []
-        for p in {pieces[k] for k in gaps}:
-            if (x := older.get(p)) is not None:
-                known[p] = x
-            elif self.alone(p):
-                fresh.append(p)
-            else:
-                known[p] = False
-        known.update(zip(fresh, self.packed([" " + p for p in fresh]), strict=True))
-        for k in gaps:
-            found[k] = known[pieces[k]]
+        for k, x in enumerate(found):
+            if x is None:
+                p = pieces[k]
+                if (x := older.get(p)) is None and self.alone(p):
+                    fresh.append(k)
+                else:
+                    known[p] = found[k] = x or False
+        for k, x in zip(fresh, self.joined([pieces[k] for k in fresh]), strict=True):
+            known[pieces[k]] = found[k] = x
+
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece with a blank before it. Some dozen pieces are encoded as one text: a call and a result for each cost more
+        than its encoding. A piece's ids begin where a token begins with a blank."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(pieces):
+            rows, size, start = [], 0, at
+            while at < len(pieces) and size < 1 << 16:
+                rows.append(" " + " ".join(pieces[at : at + 48]))
+                size += len(rows[-1])
+                at += 48
+            raw = b"".join(self.packed(rows))
+            cut = np.flatnonzero(self.opens[np.frombuffer(raw, self.kind)])
+            if len(cut) == len(pieces[start:at]):
+                cut = [*(cut * self.kind.itemsize).tolist(), len(raw)]
+                out += [raw[a:b] for a, b in pairwise(cut)]
+            else:  # a vocabulary without a token for some byte
+                out += self.packed([" " + p for p in pieces[start:at]])
+        return out
 
     def alone(self, piece: str) -> bool:
         """Text that neither begins nor ends with white space and holds no special token."""
-        if not piece or piece[0].isspace() or piece[-1].isspace():
+        if not piece or piece.strip() != piece:
             return False
         for x in self.special:
             if x in piece:
@@ -235,6 +286,14 @@ def shard_row(part: int, shard: int, first: int, ids: list[int | None], held: li
     return pa.RecordBatch.from_arrays([pa.array([row[n]], kinds[t]) for n, t in fields], names=[n for n, _ in fields])
 
 
+def encoded(encoder: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text (null: empty), some MB of text at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // TEXTS
+    cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
+    for a, b in pairwise(cuts):
+        yield from encoder.encode_all(texts.slice(a, b - a).fill_null(""))
+
+
 def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, width: int, end: int) -> Iterator[pa.RecordBatch]:
     """Sorted (doc_id, text) of one part to its shards."""
     from pyspark import TaskContext
@@ -245,8 +304,8 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, width:
     held: list[bytes] = []
     shard, size, first = 0, 0, 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            held.append(encoder.encode(text.as_py() or "") + closing)
+        for key, packed in zip(batch.column(0).to_pylist(), encoded(encoder, batch.column(1)), strict=True):
+            held.append(packed + closing)
             ids.append(key)
             size += len(held[-1])
             if size >= BLOCK:
