@@ -447,6 +447,45 @@ def test_pieces_round_trip(spark, segmenter, odd, documents):
     assert got.filter("rank = 1").count() == len(ODD) and pieces.n_best_pieces(odd.filter("false"), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_new_parts_are_searched_together(monkeypatch):
+    proto, asked, search = pieces.read_model(P.path("piece_bpe_32k.model")), [], pieces.Model.n_best
+    r = random.Random(4)
+    word = lambda: "".join(r.choice(["th", "in", "er", "a", "on", "Q", ".", "ß"]) for _ in range(r.randint(1, 12)))
+    texts = [" ".join(word() for _ in range(500)) + "\n" for _ in range(4)] + ["", None, "x" * 70, "\U00010186 \U00010186a 你好 ▁"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    plain = pieces.Segmenter(proto)
+    want = [(k, i + 1, len(ids), score, zlib.crc32(ids.astype("<u4")), plain.decode(best[0][1]) == (t or ""), ids.tolist()) for k, t in enumerate(texts) for best in [plain.segment(t or "")] for i, (score, ids) in enumerate(best)]
+    monkeypatch.setattr(pieces.Model, "n_best", lambda *x: asked.append(x[1]) or search(*x))
+    for n in (len(texts), 1):  # rows a batch
+        import sentencepiece
+
+        sentencepiece.__dict__.pop("_segmenters_of_worker", None)
+        got = [tuple(x.values()) for b in pieces.segment_batches((batch.slice(k, n) for k in range(0, len(texts), n)), proto, 3, True) for x in b.to_pylist()]
+        assert got == want
+    assert len(asked) < 600  # of about 3,000 different parts in two runs
+
+
+def test_walks_are_the_search(segmenter):
+    r, model = random.Random(8), segmenter.model
+    parts = ["".join(r.choice(["▁", "th", "e", "in", "q", "ß", "\U00010186", "▁the", "ing", "\n", "0", "00"]) for _ in range(r.randint(1, 9))) for _ in range(2000)]
+    loss, ids, ends = model.walks().best(parts)
+    for k, part in enumerate(parts):
+        best = model.n_best(part, 2)
+        if math.isnan(loss[k]):
+            assert (len(best) > 1 and best[0][0] == best[1][0]) or not all(c in model.pieces for c in part)
+        else:
+            assert tuple(ids[ends[k - 1] if k else 0 : ends[k]]) == best[0][1] and loss[k] == (best[0][0] - best[1][0] if len(best) > 1 else math.inf)
+    assert np.isnan(loss).any() and np.isinf(loss).any() and np.isfinite(loss).any()
+
+
+def test_scores_with_fractions_are_searched_one_by_one(monkeypatch):
+    seg = pieces.Segmenter(pieces.read_model(P.path("piece_bpe_32k.model")))
+    assert seg.model.whole
+    monkeypatch.setattr(seg.model, "whole", False)
+    seg.learn([[" the", " thing"]])
+    assert not seg.known and not hasattr(seg.model, "_walks")
+
+
 # --- 7 near duplicates ------------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,10 @@ search, which pops the N best segmentations in order. No piece has a blank after
 others, so the lattice falls apart at such places: the parts are searched one by one (each distinct short part once per
 worker), and the N best of the whole are taken from the parts' alternatives by their losses, best first.
 
+Where all scores are whole numbers, so that sums are exact, the forward pass runs over many new short parts at once, and carries
+each node's second best score: this gives a part's best segmentation and the loss of its second best. A part whose best is
+no better than another, or holds bytes, is searched by A-star alone; so are the parts whose alternatives are asked for.
+
 Decoding turns ids back into bytes, `▁` into blanks, and drops the blank before the text. `round_trip` says whether the
 best segmentation decodes to the text (a text with `▁` itself doesn't).
 
@@ -33,12 +37,127 @@ from .common import map_arrow, table
 
 BLANK = "▁"
 N_BEST, PARTS, SHORT = 3, 450_000, 64
+TEXTS, TOGETHER = 2_000_000, 20_000  # characters of texts, but for single ones, and short parts that are searched together
 SCHEMA = "doc_id long, rank int, n_pieces long, score double, ids_crc32 long, round_trip boolean"
 IDS = SCHEMA + ", ids array<int>"
 #: A blank run with what follows it up to the next blank or line feed; or a line feed.
 PART = re.compile(r"\n| *[^ \n]+| +")
 
 
+class Walks:
+    """Forward Viterbi over many parts at once, with each node's second best score. For models of whole scores."""
+
+    def __init__(self, model: Model):
+        chars = sorted({c for p in model.pieces for c in p})
+        self.code = np.zeros(0x110000, np.uint16 if len(chars) < 1 << 16 else np.uint32)  # 0: in no piece
+        self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.n_codes, self.floor = len(chars) + 1, model.floor
+        at, keys, nodes, n_nodes = {c: k + 1 for k, c in enumerate(chars)}, [], [], 1
+        piece, score = {}, {}
+        stack = [(model.trie, 0)]
+        while stack:
+            children, node = stack.pop()
+            for c, child in children.items():
+                if c == "":
+                    (piece[node],), score[node] = child
+                else:
+                    keys.append(node * self.n_codes + at[c])
+                    nodes.append(n_nodes)
+                    stack.append((child, n_nodes))
+                    n_nodes += 1
+        self.piece, self.score = np.full(n_nodes, -1, np.int32), np.zeros(n_nodes)
+        self.piece[list(piece)], self.score[list(score)] = list(piece.values()), list(score.values())
+        # the steps (node, character) to nodes, in a hash table with linear probing, a quarter full at most
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.nodes = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        key, node = np.array(keys, np.int64), np.array(nodes, np.int32)
+        slot = self.slot(key)
+        while len(key):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = key[free]
+            placed = self.keys[slot] == key
+            self.nodes[slot[placed]] = node[placed]
+            key, node, slot = key[~placed], node[~placed], (slot[~placed] + 1) & (len(self.keys) - 1)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The node that each step leads to, or 0."""
+        keys = nodes * np.int64(self.n_codes) + codes
+        slot = self.slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.nodes[slot], 0)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[left]]
+            same = held == keys[left]
+            out[left[same]] = self.nodes[slot[left[same]]]
+            left = left[~same & (held >= 0)]
+        return out
+
+    def best(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(loss of the second best, ids of the best, ends of each part's ids) of parts that aren't empty (blanks written as ▁).
+
+        The loss is NaN where this can't tell the best: it is no better than another, or holds a character that no piece covers.
+        """
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        last = np.cumsum(sizes + 1) - 1  # each part's last node, where its first is the one after the last of the part before
+        firsts = last - sizes
+        codes = np.zeros(last[-1] + 1, np.int64)  # the character after each node; 0 at the last, so walks end there
+        inner = np.ones(len(codes), dtype=bool)
+        inner[last] = False
+        codes[inner] = self.code[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        place = np.arange(len(codes)) - np.repeat(firsts, sizes + 1)
+        start, node, depth = np.flatnonzero(inner), np.zeros(inner.sum(), np.int64), 0
+        starts, ends, pieces, scores = [], [], [], []
+        while len(start):
+            node = self.step(node, codes[start + depth])
+            depth += 1
+            found = self.piece[node] >= 0
+            found &= node > 0
+            if depth == 1:  # no piece covers the character
+                none = start[~found]
+                starts, ends, pieces, scores = [none], [none + 1], [np.full(len(none), -1, np.int32)], [np.full(len(none), self.floor)]
+            starts.append(start[found])
+            ends.append(start[found] + depth)
+            pieces.append(self.piece[node[found]])
+            scores.append(self.score[node[found]])
+            start, node = start[node > 0], node[node > 0].astype(np.int64)
+        start, end, piece, score = map(np.concatenate, (starts, ends, pieces, scores))
+        order = np.lexsort((end, place[end]))
+        start, end, piece, score = start[order], end[order], piece[order], score[order]
+        heads = np.flatnonzero(np.append(True, end[1:] != end[:-1]))  # the first edge into each node
+        at = place[end[heads]]
+        cuts = np.searchsorted(at, np.arange(1, at[-1] + 2))
+        tails = np.append(heads, len(end))
+        first, second, back = np.zeros(len(codes)), np.full(len(codes), -np.inf), np.zeros(len(codes), np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # nodes by their place in the part
+            lo, hi = tails[a], tails[b]
+            into, begin = heads[a:b] - lo, start[lo:hi]
+            through = first[begin] + score[lo:hi]
+            most = np.maximum.reduceat(through, into)
+            hits = np.flatnonzero(through == np.repeat(most, np.diff(tails[a : b + 1])))
+            hits = hits[np.searchsorted(hits, into)]  # the first of the best edges
+            to = end[heads[a:b]]
+            first[to], back[to] = most, hits + lo
+            through[hits] = second[begin[hits]] + score[lo:hi][hits]
+            second[to] = np.maximum.reduceat(through, into)
+        loss = first[last] - second[last]
+        loss[loss == 0] = np.nan
+        of, node, seen, ids = np.arange(len(parts)), last, [], []
+        while len(of):  # from the ends back
+            edge = back[node]
+            seen.append(of)
+            ids.append(piece[edge])
+            node = start[edge]
+            of, node = of[node > firsts[of]], node[node > firsts[of]]
+        of, ids = np.concatenate(seen[::-1]), np.concatenate(ids[::-1])
+        loss[of[ids < 0]] = np.nan
+        return loss, ids[np.argsort(of, kind="stable")], np.cumsum(np.bincount(of, minlength=len(parts)))
+
+
 class Model:
     """Pieces, their scores, and byte pieces of a SentencePiece model."""
 
@@ -79,6 +198,15 @@ class Model:
         self.score_of[self.unknown] = self.floor
         self.apart = not any(re.search(f"[^{BLANK}]{BLANK}", p) or ("\n" in p and len(p) > 1) for p in self.pieces)
 
+        scores = [score for _, score in self.pieces.values()] + [self.floor]
+        #: Whole scores add up without rounding, in any order: then many parts can be searched at once.
+        self.whole = all(score == int(score) and abs(score) < 1 << 40 for score in scores if math.isfinite(score)) and all(map(math.isfinite, scores))
+
+    def walks(self) -> Walks:
+        if not hasattr(self, "_walks"):
+            self._walks = Walks(self)
+        return self._walks
+
     def lattice(self, text: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
         """The edges (start, ids, score) into each node, and the nodes' forward Viterbi scores."""
         n = len(text)
@@ -159,6 +287,27 @@ class Segmenter:
         loss = best[0][0] - best[1][0] if len(best) > 1 else math.inf
         return struct.pack("<d", loss) + np.array(best[0][1], self.model.kind).tobytes()
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Search the short parts of some texts that aren't known all at once; what is left out here is searched when it is asked for."""
+        if not self.model.whole:
+            return
+        fresh = [k for k in set().union(*texts) if k not in self.known and len(k) <= SHORT]
+        if len(self.known) + len(fresh) > PARTS:
+            self.older, self.known = self.known, {}
+        for k in fresh:
+            if (x := self.older.get(k)) is not None:
+                self.known[k] = x
+        fresh = [k for k in fresh if k not in self.known]
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
+            loss, ids, ends = self.model.walks().best([k.replace(" ", BLANK) for k in some])
+            told = ~np.isnan(loss)
+            if self.n == 1:
+                loss[:] = np.inf
+            raw, losses, cut = ids.astype(self.model.kind).tobytes(), loss.astype("<f8").tobytes(), (ends * self.model.kind.itemsize).tolist()
+            for i, (k, sure, a, b) in enumerate(zip(some, told.tolist(), [0, *cut], cut, strict=False)):
+                self.known[k] = losses[8 * i : 8 * i + 8] + raw[a:b] if sure else self.part(k)
+
     def keys(self, text: str) -> list[str]:
         whole = " " + text
         if not self.model.apart:
@@ -185,12 +334,12 @@ class Segmenter:
                 found[i] = part
         return found
 
-    def segment(self, text: str) -> list[tuple[float, np.ndarray]]:
+    def segment(self, text: str, keys: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
         """The N best segmentations: (score, ids)."""
         kind = self.model.kind
         if not text:
             return [(0.0, np.zeros(0, kind))]
-        keys = self.keys(text)
+        keys = keys or self.keys(text)
         parts = self.parts(keys)
         raw = np.frombuffer(b"".join(parts), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
@@ -241,15 +390,28 @@ def segmenter_of_worker(proto: bytes, n: int) -> Segmenter:
     return kept[name]
 
 
+def prepared(segmenter: Segmenter, texts: pa.Array) -> Iterator[tuple[str, list[str]]]:
+    """Each text (null: empty) with its parts; the parts of some MB of texts are searched together."""
+    some: list[tuple[str, list[str]]] = []
+    size = 0
+    for k, x in enumerate(texts):
+        text = x.as_py() or ""
+        some.append((text, segmenter.keys(text) if text else []))
+        size += len(text)
+        if size >= TEXTS or k + 1 == len(texts):
+            segmenter.learn([keys for _, keys in some])
+            yield from some
+            some, size = [], 0
+
+
 def segment_batches(batches: Iterator[pa.RecordBatch], proto: bytes, n: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     segmenter = segmenter_of_worker(proto, n)
     names = [x.split()[0] for x in (IDS if with_ids else SCHEMA).split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            best = segmenter.segment(text)
+        for doc_id, (text, keys) in zip(batch.column(0).to_pylist(), prepared(segmenter, batch.column(1)), strict=True):
+            best = segmenter.segment(text, keys)
             same = segmenter.decode(best[0][1]) == text
             rows += [(doc_id, k + 1, len(ids), score, zlib.crc32(ids.astype("<u4")), same, *([ids.astype(np.int32)] if with_ids else [])) for k, (score, ids) in enumerate(best)]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
