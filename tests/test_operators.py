@@ -32,6 +32,15 @@ def test_runs_edges(spark):
     assert runs.overlaps(a.union(spark.createDataFrame([(1, 6, 8)], "k long, start long, end long")), ["k"]).count() == 1
 
 
+def test_run_joins_are_not_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 9 AS doc", "id AS start", "id + 1 AS end").write.parquet(f"{tmp_path}/runs")
+    small = spark.read.parquet(f"{tmp_path}/runs")
+    for met in (runs.intersect_runs(small, small, ["doc"]), runs.lookup(small.select("doc", F.col("start").alias("lv")), small, ["doc"], how="left")):
+        assert met.count() == 1000
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_versions(spark):
     df = spark.createDataFrame([([3, 8], [3], 9)], "v array<long>, p array<long>, last long")
     assert df.select(model.advance_by_run(F.col("v"), F.col("p"), F.col("last")).alias("x")).first()["x"] == [8, 9]

@@ -17,7 +17,7 @@ from ..functions.scalars import edited
 from ..sources.cuts import written
 from .graph import tip_versions
 from .ids import is_agent_name, next_seq, summary, to_local, to_remote
-from .runs import intersect_runs
+from .runs import intersect_runs, sorted_join
 from .sync import trim_known
 
 Log = dict[str, DataFrame]
@@ -120,7 +120,7 @@ def changes_since(log: Log, known: DataFrame) -> Log:
     fresh = written(fresh.select("doc", "agent", F.col("start").alias("seq"), (F.col("end") - F.col("start")).alias("n"), "place", parents.alias("parents")), "fresh")
     points = to_remote(fresh.select("doc", "place", F.explode("parents").alias("lv")), log["agents"])
     names = points.groupBy("doc", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("lv", "agent", "seq"))), lambda x: F.struct(x["agent"].alias("agent"), x["seq"].alias("seq"))).alias("parents"))
-    graph = fresh.drop("parents").join(names, ["doc", "place"], "left").select("doc", "agent", "seq", "n", "place", F.coalesce("parents", F.array().cast("array<struct<agent:string,seq:bigint>>")).alias("parents"))
+    graph = fresh.drop("parents").join(sorted_join(names), ["doc", "place"], "left").select("doc", "agent", "seq", "n", "place", F.coalesce("parents", F.array().cast("array<struct<agent:string,seq:bigint>>")).alias("parents"))
     spans = fresh.select("doc", F.col("place").alias("start"), (F.col("place") + F.col("n")).alias("end"), "agent", (F.col("place") - F.col("seq")).alias("shift"))
     text = text_within(log["text"], spans).select("doc", "agent", (F.col("lv") - F.col("shift")).alias("seq"), "n", "kind", "pos", "content", "fwd")
     return {"graph": graph, "text": text}
@@ -141,7 +141,7 @@ def with_changes(log: Log, changes: Log) -> Log:
     named = placed.select("doc", F.col("lv").alias("run"), F.explode(F.when(F.col("start") == F.col("first"), F.col("parents")).otherwise(own)).alias("p"))
     found = to_local(named.select("doc", "run", "p.agent", "p.seq"), agents)
     parents = found.groupBy("doc", "run").agg(F.array_sort(F.collect_list("lv")).alias("parents"))
-    runs = placed.select("doc", F.col("lv").alias("run"), "n").join(parents, ["doc", "run"], "left")
+    runs = placed.select("doc", F.col("lv").alias("run"), "n").join(sorted_join(parents), ["doc", "run"], "left")
     runs = runs.select("doc", F.col("run").alias("start"), (F.col("run") + F.col("n")).alias("end"), F.coalesce("parents", _longs()).alias("parents"))
     by_seq = placed.select("doc", "agent", "start", "end", (F.col("lv") - F.col("start")).alias("shift"))
     edits = changes["text"].dropDuplicates(["doc", "agent", "seq", "n"])

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 BIN = 64
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """The table marked for sort-merge joins: one of runs or operations packs so well that files of a few MB, which Spark would broadcast,
+    are hundreds of MB in the driver."""
+    return df.hint("merge")
+
+
 def coalesce_runs(runs: DataFrame, keys: Sequence[str], values: Sequence[str] = (), start: str = "start", end: str = "end") -> DataFrame:
     """Neighbouring runs of equal values joined: each island's least start and greatest end."""
     w = Window.partitionBy(*keys).orderBy(start, end)
@@ -59,7 +65,7 @@ def intersect_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int =
     """
     x = a.filter("start < end").select(*a.columns, F.explode(bins(F.col("start"), F.col("end"), width)).alias("_bin"))
     y = b.filter("start < end").select(*(F.col(c).alias({"start": "_s", "end": "_e"}.get(c, c)) for c in b.columns), F.explode(bins(F.col("start"), F.col("end"), width)).alias("_bin"))
-    met = x.join(y, [*keys, "_bin"]).filter((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")))
+    met = x.join(sorted_join(y), [*keys, "_bin"]).filter((F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")))
     cut = met.withColumns({"start": F.greatest("start", "_s"), "end": F.least("end", "_e")}).filter(F.floor(F.col("start") / width) == F.col("_bin"))
     return cut.drop("_bin", "_s", "_e")
 
@@ -77,7 +83,7 @@ def lookup(points: DataFrame, runs: DataFrame, keys: Sequence[str], point: str =
     on = (F.col("_y_start") <= F.col(point)) & (F.col(point) < F.col("_y_end"))
     for k in [*keys, "_bin"]:
         on = on & (F.col(k) == F.col(f"_y_{k}"))
-    met = x.join(y, on, how)
+    met = x.join(sorted_join(y), on, how)
     return met.select(*points.columns, *(F.col(f"_y_{c}").alias(c) for c in runs.columns if c not in keys), (F.col(point) - F.col("_y_start")).alias("offset"))
 
 

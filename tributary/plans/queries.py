@@ -628,7 +628,7 @@ def _named_parents(log: dict) -> DataFrame:
     at = graph.parents_of(each, log["runs"]).select("doc", F.col("lv").alias("of"), F.explode("parents").alias("lv"))
     name = F.concat("agent", F.lit(":"), F.col("seq").cast("string"))
     parents = ids.to_remote(at, log["agents"]).groupBy("doc", F.col("of").alias("lv")).agg(F.array_join(F.array_sort(F.collect_list(name)), ",").alias("parents"))
-    return ids.to_remote(each, log["agents"]).join(parents, ["doc", "lv"], "left").withColumn("parents", F.coalesce("parents", F.lit("")))
+    return ids.to_remote(each, log["agents"]).join(runs.sorted_join(parents), ["doc", "lv"], "left").withColumn("parents", F.coalesce("parents", F.lit("")))
 
 
 def _two_peers(log: Log) -> tuple[dict, dict]:
@@ -653,7 +653,7 @@ def delta_changes(spark, sf_dir):
     own = F.array(F.struct(F.col("agent").alias("agent"), (F.col("seq") + F.col("k") - 1).alias("seq")))
     named = F.transform(F.when(F.col("k") == 0, F.col("parents")).otherwise(own), lambda p: F.concat(p["agent"], F.lit(":"), p["seq"].cast("string")))
     ops = each.select("doc", "agent", (F.col("seq") + F.col("k")).alias("seq"), F.array_join(F.array_sort(named), ",").alias("parents"))
-    return ops.join(sent["text"].select("doc", "agent", "seq", "content", "pos"), ["doc", "agent", "seq"])
+    return ops.join(runs.sorted_join(sent["text"].select("doc", "agent", "seq", "content", "pos")), ["doc", "agent", "seq"])
 
 
 @query("delta_round_trip", PEERS + " SELECT doc, count(*) AS ops, 0 AS only_ours, 0 AS only_theirs, 0 AS waiting FROM held GROUP BY doc")
@@ -665,7 +665,7 @@ def delta_round_trip(spark, sf_dir):
     to_us, to_them = kept(to_us), kept(to_them)
     a = kept(merge.with_changes(kept(merge.with_changes(ours, to_us)), to_us))
     b = kept(merge.with_changes(them, to_them))
-    edits = lambda x: _named_parents(x).join(x["text"], ["doc", "lv"]).select("doc", "agent", "seq", "parents", "kind", "pos", "content")
+    edits = lambda x: _named_parents(x).join(runs.sorted_join(x["text"]), ["doc", "lv"]).select("doc", "agent", "seq", "parents", "kind", "pos", "content")
     met = edits(a).withColumn("side", F.lit(1)).union(edits(b).withColumn("side", F.lit(2))).groupBy("doc", "agent", "seq", "parents", "kind", "pos", "content").agg(F.sum("side").alias("sides"))
     waiting = merge.unknown_parents(ours, to_us).groupBy("doc").agg(F.count(F.lit(1)).alias("waiting"))
     found = met.groupBy("doc").agg(F.count_if(F.col("sides").isin(1, 3)).alias("ops"), F.count_if(F.col("sides") == 1).alias("only_ours"), F.count_if(F.col("sides") == 2).alias("only_theirs"))
