@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tributary import model
 from tributary.functions import checksums, scalars
 from tributary.operators import graph, ids, merge, runs, sets, stats, sync, text, trees
+from tributary.registry import QUERIES
 from tributary.sources import logs
 from tributary.streaming import ingest
 
@@ -41,6 +42,14 @@ def test_run_joins_are_not_broadcast(spark, tmp_path):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_remote_versions_are_their_documents(spark):
+    found = QUERIES["remote_version"](spark, "/root/testdata/sf0.1").collect()
+    assert len(found) == 188 and all(int(name[1:7]) // 8 == r["doc"] for r in found for name in r["remote"].split(","))
+    agents = spark.createDataFrame([(1, 0, 3, "u1", 0)], model.AGENTS)
+    twice = spark.createDataFrame([(1, 7, [0, 2]), (1, 8, [0, 2]), (1, 9, [])], "doc long, q long, version array<long>")
+    assert [[tuple(x) for x in r["remote"]] for r in ids.remote_version(twice, agents).orderBy("q").collect()] == [[("u1", 0), ("u1", 2)]] * 2 + [[]]
+
+
 def test_versions(spark):
     df = spark.createDataFrame([([3, 8], [3], 9)], "v array<long>, p array<long>, last long")
     assert df.select(model.advance_by_run(F.col("v"), F.col("p"), F.col("last")).alias("x")).first()["x"] == [8, 9]

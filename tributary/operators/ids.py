@@ -48,10 +48,10 @@ def to_local(points: DataFrame, agents: DataFrame) -> DataFrame:
 
 def remote_version(versions: DataFrame, agents: DataFrame) -> DataFrame:
     """(doc, version) with the version as an array of (agent, seq) in order of the operations."""
-    keyed = versions.withColumn("_row", F.monotonically_increasing_id())
-    named = to_remote(keyed.select("doc", "_row", F.explode("version").alias("lv")), agents)
-    lists = named.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("lv", "agent", "seq"))), lambda x: F.struct(x["agent"].alias("agent"), x["seq"].alias("seq"))).alias("remote"))
-    return keyed.join(lists, "_row", "left").drop("_row").withColumn("remote", F.coalesce("remote", F.array().cast("array<struct<agent:string,seq:bigint>>")))
+    at = versions.select("doc", "version").distinct()
+    named = to_remote(at.select("doc", "version", F.explode("version").alias("lv")), agents)
+    lists = named.groupBy("doc", "version").agg(F.transform(F.array_sort(F.collect_list(F.struct("lv", "agent", "seq"))), lambda x: F.struct(x["agent"].alias("agent"), x["seq"].alias("seq"))).alias("remote"))
+    return versions.join(lists, ["doc", "version"], "left").select(*versions.columns, F.coalesce("remote", F.array().cast("array<struct<agent:string,seq:bigint>>")).alias("remote"))
 
 
 def sampled_version(tips: DataFrame, agents: DataFrame, count: int) -> DataFrame:
