@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels.graph import History, Span, chain_cover, to_dot, within
-from .runs import coalesce_runs, intersect_runs, lookup
+from .runs import coalesce_runs, intersect_runs, lookup, sorted_join
 
 PER_TASK = 4096
 CELLS = 1 << 21  # of a table of runs x questions, 8 bytes each
@@ -27,7 +27,7 @@ def history_of(runs: pd.DataFrame) -> History:
 
 def grouped(runs: DataFrame, questions: DataFrame, answered: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, per_task: int = PER_TASK) -> DataFrame:
     """answered(runs, questions) for each document; one with more than `per_task` questions is dealt into several groups."""
-    many = questions.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).alias("_parts"))
+    many = sorted_join(questions.groupBy("doc").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_task)).alias("_parts")))
     dealt = questions.withColumn("_row", F.monotonically_increasing_id()).join(many, "doc").withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).drop("_parts", "_row")
     dealt = dealt.select(*(F.col(c).alias(c) for c in dealt.columns))  # new names for a table that may share its origin with runs
     copies = runs.join(many, "doc").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
@@ -255,7 +255,7 @@ def concurrency_of_logs(runs: DataFrame) -> DataFrame:
 def tips(runs: DataFrame) -> DataFrame:
     """(doc, lv): operations that are no one's parent."""
     used = runs.select("doc", F.explode("parents").alias("lv")).distinct()
-    return runs.select("doc", (F.col("end") - 1).alias("lv")).join(used, ["doc", "lv"], "left_anti")
+    return runs.select("doc", (F.col("end") - 1).alias("lv")).join(sorted_join(used), ["doc", "lv"], "left_anti")
 
 
 def tip_versions(runs: DataFrame) -> DataFrame:

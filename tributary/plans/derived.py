@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.runs import sorted_join
+
 USERS, ROUND = 8, 16
 
 
@@ -35,7 +37,7 @@ def spans(ops_: DataFrame) -> DataFrame:
 def runs(spans_: DataFrame) -> DataFrame:
     """(doc, start, end, parents)."""
     ends = spans_.groupBy("doc", (F.col("round") + 1).alias("round")).agg(F.array_sort(F.collect_list(F.col("end") - 1)).alias("parents"))
-    return spans_.join(ends, ["doc", "round"], "left").select("doc", "start", "end", F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"))
+    return spans_.join(sorted_join(ends), ["doc", "round"], "left").select("doc", "start", "end", F.coalesce("parents", F.array().cast("array<bigint>")).alias("parents"))
 
 
 def agents(spans_: DataFrame) -> DataFrame:

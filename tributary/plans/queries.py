@@ -33,6 +33,11 @@ class Log:
         self.ops = derived.ops(spark, sf_dir)
         self.spans = derived.spans(self.ops)
 
+    def cut(self) -> Log:
+        """The same with its spans written, so that what is built from them begins there."""
+        self.spans = written(self.spans, "spans")
+        return self
+
     runs = property(lambda self: derived.runs(self.spans))
     agents = property(lambda self: derived.agents(self.spans))
     asked = property(lambda self: derived.questions(self.spans))
@@ -308,7 +313,7 @@ d AS (SELECT doc, q, lv FROM h ANTI JOIN up USING (doc, q, lv))
 SELECT doc, q, coalesce(string_agg(CAST(d.lv AS VARCHAR), ',' ORDER BY d.lv), '') AS version FROM ends2 LEFT JOIN d USING (doc, q) GROUP BY ALL""")
 def project_onto_filter(spark, sf_dir):
     log = Log(spark, sf_dir)
-    asked = log.asked.join(_kept(log), "doc").select("doc", "q", F.col("a").alias("version"), "keep")
+    asked = log.asked.join(runs.sorted_join(_kept(log)), "doc").select("doc", "q", F.col("a").alias("version"), "keep")
     return graph.projections(log.runs, asked).select("doc", "q", spelled(F.col("version")).alias("version"))
 
 
@@ -317,8 +322,8 @@ near AS (SELECT k.doc, k.s, max(p.round) AS round FROM k LEFT JOIN k p ON p.doc
 named AS (SELECT n.doc, n.s, coalesce(string_agg(CAST(p.e - 1 AS VARCHAR), ',' ORDER BY p.e), '') AS parents FROM near n LEFT JOIN k p ON p.doc = n.doc AND p.round = n.round GROUP BY ALL)
 SELECT o.doc, o.lv, coalesce(named.parents, CAST(o.lv - 1 AS VARCHAR)) AS parents FROM kept o LEFT JOIN named ON named.doc = o.doc AND named.s = o.lv""")
 def subgraph_parents(spark, sf_dir):
-    log = Log(spark, sf_dir)
-    asked = graph.tip_versions(log.runs).join(_kept(log), "doc").select("doc", F.lit(0).cast("long").alias("q"), "version", "keep")
+    log = Log(spark, sf_dir).cut()
+    asked = graph.tip_versions(log.runs).join(runs.sorted_join(_kept(log)), "doc").select("doc", F.lit(0).cast("long").alias("q"), "version", "keep")
     kept = runs.explode_runs(graph.subgraphs(log.runs, asked))
     return kept.select("doc", "lv", F.when(F.col("lv") > F.col("start"), (F.col("lv") - 1).cast("string")).otherwise(spelled(F.col("parents"))).alias("parents"))
 

@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
+    """The table from files, marked for sort-merge joins: what is a few MB there, which Spark would broadcast, may be hundreds in the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tributary-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
