@@ -389,9 +389,9 @@ def merge_plan(spark, sf_dir):
 SELECT n.doc, n.q, o.version AS retreated, n.version AS advanced FROM v n JOIN v o ON o.doc = n.doc AND o.q = n.q - 1""")
 def version_moves(spark, sf_dir):
     """From the end of each round back to that of the one before, and forth again."""
-    log = Log(spark, sf_dir)
+    log = Log(spark, sf_dir).cut()
     by_round = log.spans.groupBy("doc", F.col("round").alias("q")).agg(F.array_sort(F.collect_list(F.col("end") - 1)).alias("version"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    back = graph.retreated(log.runs, by_round.filter("q > 0"))
+    back = written(graph.retreated(log.runs, by_round.filter("q > 0")), "back")
     forth = graph.advanced(log.runs, back.join(by_round.select("doc", "q", "spans"), ["doc", "q"]))
     return back.withColumnRenamed("version", "r").join(forth, ["doc", "q"]).select("doc", "q", spelled(F.col("r")).alias("retreated"), spelled(F.col("version")).alias("advanced"))
 
