@@ -68,3 +68,18 @@ def test_questions_together(spark, monkeypatch):
     assert {r["q"]: r["contained"] for r in graph.contained(runs, points).collect()} == {0: True, 1: True, 2: False, 3: True, 4: False}
     sets = spark.createDataFrame([(1, 0, [0, 2, 8, 2]), (1, 1, [])], "doc long, q long, ops array<long>")
     assert sorted((r["lv"], r["dominates"]) for r in graph.labelled_dominators(runs, sets).collect()) == [(0, False), (2, True), (8, True)]
+
+
+def test_documents_are_merged_one_at_a_time(spark):
+    """A text's document comes as rows of its tables, across batches, not packed into one row beside thousands of others."""
+    n = range(30)
+    runs = spark.createDataFrame([(d, k, k + 1, [k - 1] if k else []) for d in n for k in range(4)], RUNS)
+    agents = spark.createDataFrame([(d, 0, 4, "a", 0) for d in n], AGENTS)
+    edits = spark.createDataFrame([(d, k, 1, "Ins", k, chr(97 + (d + k) % 26), True) for d in n for k in range(4)], TEXT)
+    asked = spark.createDataFrame([(d, 0, [3]) for d in n if d % 7], "doc long, q long, version array<long>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    found = text.checkouts(runs, edits, agents, asked)
+    got = {r["doc"]: r["content"] for r in found.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {d: "".join(chr(97 + (d + k) % 26) for k in range(4)) for d in n if d % 7}
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..kernels.text import Merge, Op
 from .graph import history_of, ints
 
+BLOCK = 1 << 22  # characters of answers that a task holds at once
+
 
 def _edits(text: pd.DataFrame) -> list[Op]:
     return [Op(int(r.lv), int(r.n), r.kind, int(r.pos), r.content, bool(r.fwd)) for r in text.itertuples()]
@@ -28,27 +35,66 @@ def _merges(runs: pd.DataFrame, text: pd.DataFrame, agents: pd.DataFrame) -> dic
     return {int(crdt): Merge(history, _edits(own), who) for crdt, own in text.groupby("crdt")}
 
 
-def _whole(runs: DataFrame, text: DataFrame, agents: DataFrame) -> DataFrame:
-    """One row a document: its three tables as arrays. A document is the unit of work: its merge is sequential."""
-    packed = lambda df, name: df.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc"])).alias(name))
-    return packed(runs, "runs").join(packed(text, "text"), "doc").join(packed(agents, "agents"), "doc")
+#: The tables of a document in the order in which its rows come, and their columns, the questions' beside them.
+PARTS = {"runs": ["start", "end", "parents"], "agents": ["lv_start", "lv_end", "agent", "seq_start"], "text": ["lv", "n", "kind", "pos", "content", "fwd"]}
+
+
+def _rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """All tables' rows as (doc, part, row of each table): a document's lie together, a partition's by document and table."""
+    names = list(tables)
+    whole = None
+    for k, (name, df) in enumerate(tables.items()):
+        own = F.struct(*[c for c in df.columns if c != "doc"])
+        cells = [(own if n == name else F.lit(None).cast(tables[n].select(F.struct(*[c for c in tables[n].columns if c != "doc"]).alias("x")).schema["x"].dataType)).alias(n) for n in names]
+        rows = df.select("doc", F.lit(k).alias("part"), *cells)
+        whole = rows if whole is None else whole.union(rows)
+    return whole.repartition("doc").sortWithinPartitions("doc", "part")
+
+
+def _documents(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[int, dict[str, list[dict]]]]:
+    """(doc, rows by table) of sorted rows, a document at a time."""
+    doc, held = None, {n: [] for n in names}
+    for batch in batches:
+        columns = [batch.column(n) for n in ("doc", "part")]
+        for k, (at, part) in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
+            if at != doc:
+                if doc is not None:
+                    yield doc, held
+                doc, held = at, {n: [] for n in names}
+            held[names[part]].append(batch.column(names[part])[k].as_py())
+    if doc is not None:
+        yield doc, held
 
 
 def _ask(runs: DataFrame, text: DataFrame, agents: DataFrame, questions: DataFrame, answer, schema: str, build=_merge) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    asked = _whole(runs, text, agents).join(questions.groupBy("doc").agg(F.collect_list(F.struct(*[c for c in questions.columns if c != "doc"])).alias("questions")), "doc")
+    """The rows that answer(merge, question) gives. A document is the unit of work, as its merge is sequential: a task holds one at a time, and of the answers
+    some BLOCK characters."""
+    columns = [x.split()[0] for x in schema.split(", ")]
+    tables = {"runs": runs, "agents": agents, "text": text}
+    tables = {n: df.select("doc", *(c for c in df.columns if c in PARTS[n] or c == "crdt")) for n, df in tables.items()} | {"questions": questions}
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    names = list(tables)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], type=arrow.field(k).type) for k in range(len(columns))], schema=arrow)
 
     def answered(batches):
-        for batch in batches:
-            rows = []
-            for doc in batch.to_dict("records"):
-                merge = build(*(pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in doc[t]]) for t in ("runs", "text", "agents")))
-                for q in doc["questions"]:
-                    q = dict(q) if isinstance(q, dict) else q.asDict()
-                    rows += [(doc["doc"], *row) for row in answer(merge, q)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return asked.mapInPandas(answered, schema)
+        rows, size = [], 0
+        for doc, held in _documents(batches, names):
+            if not all(held[n] for n in names):
+                continue
+            merge = build(*(pd.DataFrame(held[t]) for t in ("runs", "text", "agents")))
+            for q in held["questions"]:
+                for row in answer(merge, q):
+                    rows.append((doc, *row))
+                    size += 64 + sum(len(x) for x in row if isinstance(x, str | list))
+                    if size > BLOCK:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    return _rows(tables).mapInArrow(answered, schema)
 
 
 def checkouts(runs: DataFrame, text: DataFrame, agents: DataFrame, versions: DataFrame) -> DataFrame:
