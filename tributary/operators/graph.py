@@ -177,9 +177,14 @@ def dominators(runs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def labelled_dominators(runs: DataFrame, sets: DataFrame) -> DataFrame:
     """sets (doc, q, ops) to (doc, q, lv, dominates): each of the operations once, and whether no other contains it."""
-    best = dominators(runs, sets)
-    each = sets.select("doc", "q", F.explode(F.array_distinct("ops")).alias("lv"))
-    return each.join(best, ["doc", "q"]).select("doc", "q", "lv", F.array_contains("version", F.col("lv")).alias("dominates"))
+
+    def answer(h: History, x: pd.DataFrame) -> dict:
+        sets_ = versions(x, "ops")
+        rows = [(q, v, v in best) for q, ops, best in zip(x["q"].tolist(), sets_, map(set, h.dominators_many(sets_)), strict=True) for v in dict.fromkeys(ops)]
+        q, lv, dominates = zip(*rows, strict=True) if rows else ((), (), ())
+        return {"q": q, "lv": lv, "dominates": dominates}
+
+    return ask_together(runs, sets, answer, "doc long, q long, lv long, dominates boolean")
 
 
 def unions(runs: DataFrame, pairs: DataFrame) -> DataFrame:
