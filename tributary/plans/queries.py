@@ -829,7 +829,7 @@ UNION ALL SELECT doc, 'turns/pair@' || crdt, 'text', substr(content, n // 4 + n
 def document_checkout(spark, sf_dir):
     """Documents of a title, which another one lost to, and a set of texts."""
     r, t, a, tips = _own_texts(spark, sf_dir)
-    texts = text.embedded_checkouts(r, t, a, tips).select("doc", "crdt", "content")
+    texts = written(text.embedded_checkouts(r, t, a, tips).select("doc", "crdt", "content"), "texts")
     docs, none, the_set = tips.select("doc"), F.lit(None).cast("long"), F.lit(-2).cast("long")
     title = F.struct(F.lit("title").alias("key"), F.concat(F.lit("talk "), F.col("doc").cast("string")).alias("value"), none.alias("child"))
     turns = F.struct(F.lit("turns").alias("key"), F.lit(None).cast("string").alias("value"), the_set.alias("child"))
